@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
+
 #: Fixed by the contracts: what separates words.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -29,6 +31,8 @@ def words_of(text: Column) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Readies a session for the operators that run Python."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
