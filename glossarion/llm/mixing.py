@@ -8,7 +8,8 @@ until each is 0 or 1, so that both totals stay what they were. It runs in blocks
 about ``BLOCK`` documents of one source; at most two documents of a block stay
 undecided and meet in blocks of the next level, and so on, until each source is one
 block. What then remains, at most two documents a source, is the landing problem: of
-the at most four ways to end it, the one nearest to the token total is taken.
+the at most four ways to end it, the one nearest to the token total is taken, and up
+to FLIPS decisions of the last block are reversed where that comes nearer still.
 
 Only (id, source, size) rows move, a hot source is many blocks, and a level is a
 four-thousandth of the one before. Blocks follow a hash of the id and random steps
@@ -35,6 +36,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BLOCK = 4096
+FLIPS = 3
 _EPS = 1e-9
 
 
@@ -91,8 +93,10 @@ def flight(pi: list[float], size: list[int], rng: random.Random) -> list[float]:
     return pi
 
 
-def landing(pi: list[float], size: list[int]) -> list[float]:
-    """Ends the few probabilities that are left where the token total is nearest."""
+def landing(pi: list[float], size: list[int], total: float) -> list[float]:
+    """Ends the few probabilities that are left where the token total is nearest, and then
+    reverses at most ``FLIPS`` single decisions of this last block, each the one that
+    brings its tokens nearest to ``total``."""
     left = [k for k, p in enumerate(pi) if 0 < p < 1]
     wanted = sum(pi[k] * size[k] for k in left)
     count = sum(pi[k] for k in left)
@@ -104,20 +108,27 @@ def landing(pi: list[float], size: list[int]) -> list[float]:
     out = list(pi)
     for x, k in zip(best, left, strict=True):
         out[k] = float(x)
+    error = sum(x * n for x, n in zip(out, size, strict=True)) - total
+    for _ in range(FLIPS):
+        change = [n if x == 0 else -n for x, n in zip(out, size, strict=True)]
+        k = min(range(len(out)), key=lambda k: abs(error + change[k]), default=None)
+        if k is None or abs(error + change[k]) >= abs(error):
+            break
+        error += change[k]
+        out[k] = 1 - out[k]
     return out
 
 
 def _settle(level: int):
     def run(table: pa.Table) -> pa.Table:
-        # Long documents first, so that what stays undecided, and the error of the landing, is short.
-        order = np.lexsort([table["h"].to_numpy(), -table["size"].to_numpy()])
+        order = np.lexsort([table["size"].to_numpy(), table["h"].to_numpy()])
         table = table.take(pa.array(order))
         source, block, last = (table[c][0].as_py() for c in ("source", "block", "last"))
         rng = random.Random(crc32(repr((source, block, level)).encode()))
         pi, size = table["pi"].to_pylist(), table["size"].to_pylist()
         moved = flight(pi, size, rng)
         if last:
-            moved = landing(moved, size)
+            moved = landing(moved, size, sum(p * n for p, n in zip(pi, size, strict=True)))
         return table.set_column(table.schema.get_field_index("pi"), "pi", pa.array(moved, pa.float64()))
 
     return run
