@@ -321,7 +321,8 @@ def _dense_links(sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id that links reach) for every row."""
+    """doc_id, n_shingles, component_id (smallest id that links reach) for every row, and
+    beside them text_hash and representative: whether no row of the group is before it."""
     spark = docs.sparkSession
     small_batches(spark)
     described = cut(describe(docs, id_col, text_col))
@@ -367,11 +368,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = both.mapInArrow(_verify, "a long, b long").unionByName(_dense_links(sets.join(few, "node", "left_semi")))
     found = components(links)
     classes = described.join(found.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(
-        "doc_id", "n", F.coalesce("component", "node").alias("class")
+        "doc_id", "text_hash", "n", F.coalesce("component", "node").alias("class")
     )
-    first = classes.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    row = F.struct("doc_id", "text_hash")
+    first = classes.groupBy("class").agg(F.min("doc_id").alias("least"), F.min(row).alias("first"))
     return classes.join(first.withColumnRenamed("class", "of"), F.col("class") == F.col("of")).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+        "text_hash",
+        ((F.col("n") == 0) | (row == F.col("first"))).alias("representative"),
     )

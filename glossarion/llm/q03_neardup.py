@@ -8,12 +8,13 @@ from .neardup import near_duplicates
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Documents without words stay."""
-    found = near_duplicates(docs)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    return kept.dropDuplicates() if kept.columns else kept
+    """One document of each group, the first by id. Documents without words stay; equal rows are one."""
+    kept = near_duplicates(docs).where("representative").select(F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__")).distinct()
+    hashed = docs.select("*", F.xxhash64("text").alias("th__"))
+    whole = hashed.groupBy("doc_id", "th__").agg(F.first(F.struct(*docs.columns)).alias("row__"))
+    joined = whole.join(kept, F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("th__") == F.col("hash__")), "left_semi")
+    return joined.select("row__.*")
