@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q01_chat, q03_neardup, q04_pii, q05_media, q06_quality, q07_mixing, q08_lines, q09_toxicity, q10_bpe
+from . import q01_chat, q02_lm, q03_neardup, q04_pii, q05_media, q06_quality, q07_mixing, q08_lines, q09_toxicity, q10_bpe
 
-MODULES = (q01_chat, q03_neardup, q04_pii, q05_media, q06_quality, q07_mixing, q08_lines, q09_toxicity, q10_bpe)
+MODULES = (q01_chat, q02_lm, q03_neardup, q04_pii, q05_media, q06_quality, q07_mixing, q08_lines, q09_toxicity, q10_bpe)
 
 
 def queries() -> dict:
