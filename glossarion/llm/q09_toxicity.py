@@ -28,5 +28,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not toxic, with the columns they came with."""
     model = learned(spark, docs, sf_dir)
-    scored = score(docs.select(*docs.columns), model, keep=tuple(docs.columns))
-    return scored.where(F.col("score") < THRESHOLD).select(*docs.columns)
+    scored = score(docs.select(*docs.columns), model, keep=tuple(docs.columns), name="toxicity__")
+    return scored.where(F.col("toxicity__") < THRESHOLD).select(*docs.columns)

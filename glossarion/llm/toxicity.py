@@ -141,9 +141,9 @@ def learn(
 
 def score(
     docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text",
-    keep: tuple[str, ...] = (),
+    keep: tuple[str, ...] = (), name: str = "score",
 ) -> DataFrame:
-    """id, score (0 to 1), and the columns to keep, for every document."""
+    """id, the score (0 to 1) under that name, and the columns to keep, for every document."""
     used, weights, bias = model
     bias = bias or -1e-3
     source = docs.select(docs[text_col].cast("string").alias("text__scored"), id_col, *[c for c in keep if c != id_col])
@@ -167,7 +167,7 @@ def score(
             total = np.bincount(key >> BITS, dense[key & (1 << BITS) - 1], len(words)) + bias
             scores = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             columns = {f.name: batch.column(k + 1) for k, f in enumerate(fields)}
-            yield pa.RecordBatch.from_pydict({**columns, "score": pa.array(scores)})
+            yield pa.RecordBatch.from_pydict({**columns, name: pa.array(scores)})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return source.mapInArrow(run, f"{schema}, score double")
+    return source.mapInArrow(run, f"{schema}, `{name}` double")
