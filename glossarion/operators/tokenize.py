@@ -50,10 +50,11 @@ def strict_tokens(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
             return ["".join(c.lower() for c in t) for t in found if any(c.isalpha() for c in t)]
 
         for batch in batches:
-            batch["pairs"] = [list(enumerate(split(x))) for x in batch.pop("text__")]
-            long = batch.explode("pairs").dropna(subset=["pairs"])
-            long["pos"], long["token"] = [p for p, _ in long["pairs"]], [t for _, t in long["pairs"]]
-            yield long.drop(columns="pairs")
+            found = [split(x) for x in batch.pop("text__")]
+            long = batch.loc[batch.index.repeat([len(x) for x in found])].reset_index(drop=True)
+            long["pos"] = pd.Series([k for x in found for k in range(len(x))], dtype="int32")
+            long["token"] = pd.Series([t for x in found for t in x], dtype=object)
+            yield long
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
     return picked.mapInPandas(run, schema + "pos int, token string")
