@@ -12,6 +12,17 @@ from ..functions.ship import ship
 from ..functions.text import tokens
 
 
+#: Bytes of input for each core up to which rows are dealt out anew.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """A small table, which may be one row group and so one task, dealt to all cores; a large one as it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return docs.repartition(cores) if int(str(size)) < SPREAD_BYTES * cores else docs
+
+
 def word_tokens(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """keys, pos, token: a row for each token."""
     return docs.select(*keys, F.posexplode(tokens(F.col(text))).alias("pos", "token"))

@@ -19,7 +19,7 @@ from ..operators.detect import LanguageDetector
 from ..operators.score import dict_miss as missing_words
 from ..operators.score import dict_priors as word_priors
 from ..operators.score import ngram_scores, word_scores
-from ..operators.tokenize import term_frequencies
+from ..operators.tokenize import spread, term_frequencies
 from ..operators.train import Model, rank_dictionary, train_model, trigram_counts, trigram_model, trigram_totals, word_frequencies
 from ..streaming.scorer import detect_stream, register
 from . import oracle as o
@@ -39,7 +39,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _words(docs: DataFrame) -> DataFrame:
