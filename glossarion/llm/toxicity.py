@@ -13,8 +13,8 @@ over its whole text; nothing but the text enters a score.
 
 Defined results: null and empty texts have no features and get the score of the bias;
 null labels are left out; several labels of one document count as toxic if any does;
-equal texts get equal scores; without labels (or an empty table) every score is 0.5
-less a hair, so nothing is rejected; other input columns are ignored.
+equal texts get equal scores; with fewer than MIN_SEEN labels of either kind (or none)
+every score is 0.5 less a hair, so nothing is rejected; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,7 +131,9 @@ def learn(
                 for h, i, t, y in zip(batch["h"], batch["id"], batch["text"], batch["y"], strict=True)
             ]
         rows.sort(key=lambda r: r[:4])
-        used, weights, bias = fit_ftrl([r[4] for r in rows], [r[3] for r in rows])
+        toxic = sum(r[3] for r in rows)
+        enough = min(toxic, len(rows) - toxic) >= MIN_SEEN
+        used, weights, bias = fit_ftrl([r[4] for r in rows], [r[3] for r in rows]) if enough else ([], [], -1e-3)
         yield pd.DataFrame({"at": np.append(used, -1), "w": np.append(weights, bias)})
 
     small_batches(docs.sparkSession)
