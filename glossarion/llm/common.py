@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,4 +49,9 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # What the rows came from is not read again; once the driver has collected its garbage, Spark removes those shuffle files.
+    del df
+    gc.collect()
+    sc._jvm.System.gc()
+    return done
