@@ -111,7 +111,7 @@ def plain_lines(rows):
     keys = list(place)
 
     def simhash(ws):
-        hs = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in ws]
+        hs = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in dict.fromkeys(ws)]
         return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
     hashes = [simhash(k) for k in keys]
