@@ -34,7 +34,7 @@ from .common import SPACE_CLASS, partitions, small_batches
 
 ORDER = 2
 BACKOFF = 0.4
-BLOCK_DOCS = 400
+BLOCK_DOCS = 800
 #: Distinct n-grams that one task of the count table holds, about.
 PER_PART = 3_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
