@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +56,15 @@ def cut(df: DataFrame) -> DataFrame:
     gc.collect()
     sc._jvm.System.gc()
     return done
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As cut, for larger tables: a Parquet table in the shared folder, so that columns are packed and read one by one."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stored-")
+    path = f"{shared}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.parquet(path)
