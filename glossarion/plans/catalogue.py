@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.langs import langs_table, supported_languages
@@ -248,6 +248,50 @@ def detect_detailed(spark, sf_dir):
     return found.select("item_id", F.size("words").alias("n_words"))
 
 
+PLACED = (
+    f", placed AS (SELECT doc_id, generate_subscripts(ts, 1) - 1 AS pos, unnest(ts) AS token FROM (SELECT doc_id, {o.toks('text')} AS ts FROM documents))"
+)
+
+
+@query(
+    o.chain() + PLACED
+    + " SELECT doc_id, CAST(pos AS INTEGER) AS pos, p.token, source, lang, round(s, 6) AS s FROM placed p JOIN ws ON p.token = ws.token"
+)
+def detect_words_documents(spark, sf_dir):
+    docs = table(spark, sf_dir)
+    found = LanguageDetector(train_model(docs)).detect_words(docs, "doc_id")
+    rows = found.select("doc_id", "pos", "token", "source", F.explode("scores").alias("x"))
+    return rows.select("doc_id", "pos", "token", "source", F.col("x.lang").alias("lang"), F.round("x.score", 6).alias("s"))
+
+
+def _listed(scores: Column) -> Column:
+    """Languages with their scores in millionths, in order."""
+    return F.array_join(F.transform(scores, lambda x: F.concat(x["lang"], F.lit("="), F.floor(x["score"] * 1e6 + 0.5).cast("string"))), ",")
+
+
+@query(
+    o.detection() + PLACED
+    + ", shown AS (SELECT token, any_value(source) AS source, string_agg(ws.lang || '=' || CAST(floor(s * 1e6 + 0.5) AS BIGINT), ',' ORDER BY ord) AS scores "
+    "FROM ws JOIN langs ON ws.lang = langs.lang GROUP BY token), "
+    "digests AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (source = 'dict') AS n_dict, "
+    "md5(string_agg(p.token || ':' || source || ':' || scores, ' ' ORDER BY pos)) AS words_md5 FROM placed p JOIN shown w ON p.token = w.token GROUP BY doc_id), "
+    "sums AS (SELECT doc_id, CASE WHEN max(score) < 0.2 THEN '?=1000000' ELSE "
+    "string_agg(lang || '=' || CAST(floor(score * 1e6 + 0.5) AS BIGINT), ',' ORDER BY k) END AS aggregate FROM listed GROUP BY doc_id) "
+    "SELECT d.doc_id, CAST(coalesce(n_words, 0) AS INTEGER) AS n_words, CAST(coalesce(n_dict, 0) AS INTEGER) AS n_dict, coalesce(words_md5, md5('')) AS words_md5, "
+    "CASE WHEN d.text IS NOT NULL THEN coalesce(aggregate, '?=1000000') END AS aggregate "
+    "FROM documents d LEFT JOIN digests g ON d.doc_id = g.doc_id LEFT JOIN sums t ON d.doc_id = t.doc_id"
+)
+def detect_detailed_documents(spark, sf_dir):
+    """Tokens, sources and scores of all words as a digest in text order, and the aggregate."""
+    docs = table(spark, sf_dir)
+    found = LanguageDetector(train_model(docs)).detect_detailed(docs, "doc_id")
+    shown = F.transform("words", lambda w: F.concat_ws(":", w["token"], w["source"], _listed(w["scores"])))
+    n_dict = F.size(F.filter("words", lambda w: w["source"] == "dict"))
+    return found.select(
+        "doc_id", F.size("words").alias("n_words"), n_dict.alias("n_dict"), F.md5(F.array_join(shown, " ")).alias("words_md5"), _listed(F.col("aggregate")).alias("aggregate")
+    )
+
+
 @query(
     o.detection() + " SELECT a.doc_id, a.lang AS lang1, b.lang AS lang2 FROM listed a JOIN listed b ON a.doc_id = b.doc_id "
     "WHERE a.k = 1 AND b.k = 2 AND round(b.score, 6) > 0.1 AND a.score >= 0.2"
