@@ -10,6 +10,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir)).drop("lang", "source")
 
 
+def quality_rules_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With fences that junk cannot widen."""
+    return judge(documents(spark, sf_dir), tight=True).drop("lang", "source")
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text,
@@ -53,3 +58,17 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
     AND repeats <= e[1] + 8 * (e[2] - e[1]) + 150, true) AS kept
 FROM v LEFT JOIN t ON v.lang IS NOT DISTINCT FROM t.lang AND v.source IS NOT DISTINCT FROM t.source
 """
+
+
+def _tight(sql: str) -> str:
+    bins = ", ".join(f"{r}::BIGINT - {r}::BIGINT % (1::BIGINT << CAST(greatest(length(bin({r}::BIGINT)) - 11, 0) AS BIGINT)) AS {r}"
+                     for r in ("word_length", "symbols", "dup_lines", "repeats"))
+    for old, new in (
+        ("least(2000, ", "("), ("), v AS (", "), exact AS ("), ("), t AS (", f"), v AS (\n  SELECT * REPLACE ({bins}) FROM exact\n), t AS ("),
+        ("[0.05, 0.5, 0.95]", "[0.25, 0.5, 0.75]"), ("[0.5, 0.95]", "[0.5, 0.75]"), ("8 * (", "4 * ("),
+    ):
+        sql = sql.replace(old, new)
+    return sql
+
+
+ORACLE_TIGHT = _tight(ORACLE)

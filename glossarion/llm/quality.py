@@ -13,6 +13,9 @@ Defined results: a null text has no words and fails the base rules; null lang or
 source form groups of their own; equal rows are judged alike, each in its own row;
 an empty table gives no rows; other columns of the input are ignored.
 
+With ``tight``, values beyond 2,000 go to bins of their eleven leading bits in place of the
+clamp, and the spread is ``TIGHT_SPREAD * (q75 - median)``, which a few per cent of junk cannot move.
+
 Windows of eight words are compared by their 64-bit hashes.
 """
 
@@ -29,6 +32,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MAX_VALUE = 2000
 SPREAD = 8
+TIGHT_SPREAD = 4
 #: rule: (slack, whether it has a lower fence)
 RULES = {"word_length": (150, True), "symbols": (100, False), "dup_lines": (250, False), "repeats": (150, False)}
 
@@ -94,8 +98,14 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def _values() -> dict[str, Column]:
-    """Each rule's integer, hundredths of a character or thousandths, up to MAX_VALUE."""
+def _binned(v: Column) -> Column:
+    """The eleven leading bits: exact up to 2,047, in bins of a thousandth or less beyond."""
+    step = F.pow(F.lit(2.0), F.greatest(F.length(F.bin(v)) - 11, F.lit(0))).cast("long")
+    return v - v % step
+
+
+def _values(tight: bool = False) -> dict[str, Column]:
+    """Each rule's integer, hundredths of a character or thousandths, up to MAX_VALUE or binned."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     of = {
         "word_length": 100 * F.col("word_chars"),
@@ -103,12 +113,14 @@ def _values() -> dict[str, Column]:
         "dup_lines": 1000 * F.least(8 * F.col("n_dup_lines"), n),
         "repeats": 1000 * F.col("n_repeat_words"),
     }
+    if tight:
+        return {k: _binned(F.floor(v / n)) for k, v in of.items()}
     return {k: F.least(F.floor(v / n), F.lit(MAX_VALUE)).cast("int") for k, v in of.items()}
 
 
-def sketches(measured: DataFrame) -> DataFrame:
+def sketches(measured: DataFrame, tight: bool = False) -> DataFrame:
     """lang, source, rule, value, n: the mergeable counts."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("value")) for k, v in _values().items()]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("value")) for k, v in _values(tight).items()]))
     return (
         measured.where(F.col("n_words") > 0)
         .select("lang", "source", pairs.alias("p"))
@@ -117,8 +129,9 @@ def sketches(measured: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
+def thresholds(sketch: DataFrame, tight: bool = False) -> DataFrame:
     """lang, source and the fences of each rule, a row for each group."""
+    low, high, spread = (25, 75, TIGHT_SPREAD) if tight else (5, 95, SPREAD)
     group = Window.partitionBy("lang", "source", "rule")
     below = F.sum("n").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     at = sketch.select("lang", "source", "rule", "value", below.alias("below"), F.sum("n").over(group).alias("total"))
@@ -127,24 +140,24 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         return F.min(F.when(100 * F.col("below") >= percent * F.col("total"), F.col("value")))
 
     fences = at.groupBy("lang", "source", "rule").agg(
-        quantile(5).alias("q05"), quantile(50).alias("q50"), quantile(95).alias("q95")
+        quantile(low).alias("low"), quantile(50).alias("q50"), quantile(high).alias("high")
     )
     out = []
     for rule, (slack, two_sided) in RULES.items():
         of = F.col("rule") == rule
-        out.append(F.max(F.when(of, F.col("q50") + SPREAD * (F.col("q95") - F.col("q50")) + slack)).alias(f"{rule}_max"))
+        out.append(F.max(F.when(of, F.col("q50") + spread * (F.col("high") - F.col("q50")) + slack)).alias(f"{rule}_max"))
         if two_sided:
-            out.append(F.max(F.when(of, F.col("q50") - SPREAD * (F.col("q50") - F.col("q05")) - slack)).alias(f"{rule}_min"))
+            out.append(F.max(F.when(of, F.col("q50") - spread * (F.col("q50") - F.col("low")) - slack)).alias(f"{rule}_min"))
     return fences.groupBy("lang", "source").agg(*out)
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tight: bool = False) -> DataFrame:
     """The measures of each document with ``base_failed`` and ``kept``."""
     measured = cut(measure(docs, id_col, text_col))
-    fences = thresholds(sketches(measured)).select(
+    fences = thresholds(sketches(measured, tight), tight).select(
         F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[f"{r}_max" for r in RULES], "word_length_min"
     )
-    values = _values()
+    values = _values(tight)
     inside = F.coalesce(values["word_length"] >= F.col("word_length_min"), F.lit(True))
     for rule in RULES:
         inside = inside & F.coalesce(values[rule] <= F.col(f"{rule}_max"), F.lit(True))

@@ -1,0 +1,23 @@
+"""Fences that junk cannot widen."""
+
+from glossarion.llm import q06_quality
+from glossarion.llm.common import documents
+
+from ..conftest import SF, duck, same_rows
+
+SF2 = "/root/testdata/sf0.01"
+
+
+def test_tight_rules_equal_their_sql(spark):
+    for sf in (SF, SF2):
+        same_rows(q06_quality.quality_rules_tight(spark, sf), *duck(sf, q06_quality.ORACLE_TIGHT))
+
+
+def test_junk_fails_in_every_group(spark):
+    """About 125 documents a group; where junk is a quarter of a small group it sets the fence."""
+    sf = "/root/testdata/sf0.1"
+    groups = documents(spark, sf).select("doc_id", "lang", "source")
+    junk = "NOT base_failed AND n_symbols > 2 * n_words"
+    found = q06_quality.quality_rules_tight(spark, sf).where(junk).join(groups, "doc_id").collect()
+    assert len({(r["lang"], r["source"]) for r in found}) > 70 and not any(r["kept"] for r in found)
+    assert any(r["kept"] for r in q06_quality.op6_quality_rules(spark, sf).where(junk).collect())
