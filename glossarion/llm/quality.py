@@ -1,27 +1,30 @@
 """Quality rules whose cutoffs come from mergeable quantile sketches.
 
-Each rule measures an integer per document. A sketch is the count of documents per
-value of a rule, per (lang, source): at most ``MAX_VALUE + 1`` counts for each rule
-and group however many rows there are, and two sketches merge by adding counts, so
-Spark merges them on the map side before the shuffle and a hot source costs no more
-than a small one. Its quantiles set the fences that replace fixed cutoffs::
+Each rule measures an integer per document. A KLL sketch of each rule's values is built
+per (lang, source): Spark builds partial sketches where the rows are read and merges
+them after the shuffle, so a hot source costs no more than a small one, and a sketch holds
+about ``3 * K`` values however many rows there are. Sketches of a language are the merged
+ones of its sources, and that of all documents is merged from the languages'. A group of
+fewer than ``MIN_GROUP`` documents takes the fences of its language, or, where that is
+as small, those of all documents. Quantiles set the fences that replace fixed cutoffs::
 
-    upper = median + SPREAD * (q95 - median) + slack
-    lower = median - SPREAD * (median - q05) - slack      (mean word length only)
+    upper = median + SPREAD * (q75 - median) + slack
+    lower = median - SPREAD * (median - q25) - slack      (mean word length only)
+
+The quartile is used since a few per cent of junk move higher quantiles at will; the slack is what a
+document may exceed a source that has no spread at all. Up to ``K`` documents a sketch is exact; beyond,
+its ranks are within about 2 / K of the true ones, and a rerun may differ by as much.
 
 Defined results: a null text has no words and fails the base rules; null lang or
 source form groups of their own; equal rows are judged alike, each in its own row;
 an empty table gives no rows; other columns of the input are ignored.
 
-With ``tight``, values beyond 2,000 go to bins of their eleven leading bits in place of the
-clamp, and the spread is ``TIGHT_SPREAD * (q75 - median)``, which a few per cent of junk cannot move.
-
 Windows of eight words are compared by their 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, SPACE_CLASS, cut, text_or_empty, words_of
@@ -30,11 +33,11 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-MAX_VALUE = 2000
-SPREAD = 8
-TIGHT_SPREAD = 4
+K = 2048
+MIN_GROUP = 50
+SPREAD = 4
 #: rule: (slack, whether it has a lower fence)
-RULES = {"word_length": (150, True), "symbols": (100, False), "dup_lines": (250, False), "repeats": (150, False)}
+RULES = {"word_length": (150, True), "symbols": (600, False), "dup_lines": (250, False), "repeats": (200, False)}
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -98,14 +101,8 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def _binned(v: Column) -> Column:
-    """The eleven leading bits: exact up to 2,047, in bins of a thousandth or less beyond."""
-    step = F.pow(F.lit(2.0), F.greatest(F.length(F.bin(v)) - 11, F.lit(0))).cast("long")
-    return v - v % step
-
-
-def _values(tight: bool = False) -> dict[str, Column]:
-    """Each rule's integer, hundredths of a character or thousandths, up to MAX_VALUE or binned."""
+def _values() -> dict[str, Column]:
+    """Each rule's integer: hundredths of a character, or thousandths."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     of = {
         "word_length": 100 * F.col("word_chars"),
@@ -113,51 +110,44 @@ def _values(tight: bool = False) -> dict[str, Column]:
         "dup_lines": 1000 * F.least(8 * F.col("n_dup_lines"), n),
         "repeats": 1000 * F.col("n_repeat_words"),
     }
-    if tight:
-        return {k: _binned(F.floor(v / n)) for k, v in of.items()}
-    return {k: F.least(F.floor(v / n), F.lit(MAX_VALUE)).cast("int") for k, v in of.items()}
-
-
-def sketches(measured: DataFrame, tight: bool = False) -> DataFrame:
-    """lang, source, rule, value, n: the mergeable counts."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("value")) for k, v in _values(tight).items()]))
-    return (
-        measured.where(F.col("n_words") > 0)
-        .select("lang", "source", pairs.alias("p"))
-        .groupBy("lang", "source", F.col("p.rule").alias("rule"), F.col("p.value").alias("value"))
-        .agg(F.count("*").alias("n"))
-    )
+    return {k: F.floor(v / n).cast("long") for k, v in of.items()}
 
 
-def thresholds(sketch: DataFrame, tight: bool = False) -> DataFrame:
-    """lang, source and the fences of each rule, a row for each group."""
-    low, high, spread = (25, 75, TIGHT_SPREAD) if tight else (5, 95, SPREAD)
-    group = Window.partitionBy("lang", "source", "rule")
-    below = F.sum("n").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    at = sketch.select("lang", "source", "rule", "value", below.alias("below"), F.sum("n").over(group).alias("total"))
+def sketches(measured: DataFrame) -> DataFrame:
+    """lang, source, n and a sketch of each rule's values."""
+    worded = measured.where(F.col("n_words") > 0).select("lang", "source", *[v.alias(k) for k, v in _values().items()])
+    return worded.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_bigint(k, F.lit(K)).alias(k) for k in RULES])
 
-    def quantile(percent: int) -> Column:
-        return F.min(F.when(100 * F.col("below") >= percent * F.col("total"), F.col("value")))
 
-    fences = at.groupBy("lang", "source", "rule").agg(
-        quantile(low).alias("low"), quantile(50).alias("q50"), quantile(high).alias("high")
-    )
+def _merged(sketch: DataFrame, *by: str) -> DataFrame:
+    return sketch.groupBy(*by).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_bigint(k, F.lit(K)).alias(k) for k in RULES])
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """lang, source and the fences of each rule, a row for each group."""
+    by_lang = _merged(sketch, "lang")
+    everything = _merged(by_lang)
+    named = lambda df, s: df.select(*[F.col(c).alias(f"{c}_{s}") for c in df.columns])
+    joined = sketch.join(named(by_lang, "l"), F.col("lang").eqNullSafe(F.col("lang_l")), "left").join(F.broadcast(named(everything, "e")))
+    quantiles = F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])
+    picked = lambda k: F.when(F.col("n") >= MIN_GROUP, F.col(k)).when(F.col("n_l") >= MIN_GROUP, F.col(f"{k}_l")).otherwise(F.col(f"{k}_e"))
+    found = joined.select("lang", "source", *[F.kll_sketch_get_quantile_bigint(picked(k), quantiles).alias(k) for k in RULES])
     out = []
     for rule, (slack, two_sided) in RULES.items():
-        of = F.col("rule") == rule
-        out.append(F.max(F.when(of, F.col("q50") + spread * (F.col("high") - F.col("q50")) + slack)).alias(f"{rule}_max"))
+        low, mid, high = (F.get(rule, F.lit(i)) for i in range(3))
+        out.append((mid + SPREAD * (high - mid) + slack).alias(f"{rule}_max"))
         if two_sided:
-            out.append(F.max(F.when(of, F.col("q50") - spread * (F.col("q50") - F.col("low")) - slack)).alias(f"{rule}_min"))
-    return fences.groupBy("lang", "source").agg(*out)
+            out.append((mid - SPREAD * (mid - low) - slack).alias(f"{rule}_min"))
+    return found.select("lang", "source", *out)
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tight: bool = False) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The measures of each document with ``base_failed`` and ``kept``."""
     measured = cut(measure(docs, id_col, text_col))
-    fences = thresholds(sketches(measured, tight), tight).select(
+    fences = thresholds(cut(sketches(measured))).select(
         F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[f"{r}_max" for r in RULES], "word_length_min"
     )
-    values = _values(tight)
+    values = _values()
     inside = F.coalesce(values["word_length"] >= F.col("word_length_min"), F.lit(True))
     for rule in RULES:
         inside = inside & F.coalesce(values[rule] <= F.col(f"{rule}_max"), F.lit(True))
