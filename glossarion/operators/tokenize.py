@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.pytext import tokens as split
 from ..functions.ship import ship
 from ..functions.text import tokens
 
@@ -19,7 +20,10 @@ SPREAD_BYTES = 16 << 20
 def spread(docs: DataFrame) -> DataFrame:
     """A small table, which may be one row group and so one task, dealt to all cores; a large one as it is."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    plan = getattr(docs, "_jdf", None)  # a remote session has no such handle, and no need of this
+    if plan is None:
+        return docs
+    size = plan.queryExecution().optimizedPlan().stats().sizeInBytes()
     return docs.repartition(cores) if int(str(size)) < SPREAD_BYTES * cores else docs
 
 
@@ -45,23 +49,8 @@ def strict_tokens(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     fields = [f for f in picked.schema.fields if f.name != "text__"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import unicodedata
-
-        import regex
-
-        word = regex.compile(r"(?V1)\b\w.*?\b", regex.WORD | regex.DOTALL)
-
-        def split(x: str | None) -> list[str]:
-            if x is None:
-                return []
-            if x.isascii():
-                found = [t.strip("'") for t in regex.findall(r"[A-Za-z0-9']+", x)]
-            else:
-                found = [unicodedata.normalize("NFKC", t) for t in word.findall(x)]
-            return ["".join(c.lower() for c in t) for t in found if any(c.isalpha() for c in t)]
-
         for batch in batches:
-            found = [split(x) for x in batch.pop("text__")]
+            found = [split(x, "strict") for x in batch.pop("text__")]
             long = batch.loc[batch.index.repeat([len(x) for x in found])].reset_index(drop=True)
             long["pos"] = pd.Series([k for x in found for k in range(len(x))], dtype="int32")
             long["token"] = pd.Series([t for x in found for t in x], dtype=object)

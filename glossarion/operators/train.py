@@ -21,13 +21,25 @@ def word_frequencies(docs: DataFrame, lang: str = "lang", text: str = "text") ->
     return exploded.groupBy("lang", "token").agg(F.count("*").alias("freq"))
 
 
-def rank_dictionary(freq: DataFrame, top_n: int = TOP_N) -> DataFrame:
-    """lang, token, freq, rnk: the top_n words of each language, from rank 0.
+#: Parts that a language's rows are ranked in before the best of all parts are.
+PARTS = 64
+
 
-    A rank of at most top_n is asked for, so Spark keeps no more than top_n rows of a
-    language on any task before the shuffle."""
-    order = Window.partitionBy("lang").orderBy(F.desc("freq"), "token")
-    return freq.withColumn("rnk", F.row_number().over(order) - 1).where(F.col("rnk") < top_n)
+def ranked(rows: DataFrame, n: int, by: str, name: str) -> DataFrame:
+    """The rows with their place (from 1, as ``place__``) among those of their language, for the first n: most of ``by`` first, then by name.
+
+    A language may hold most of the rows, so its rows are ranked in PARTS parts first; no task sorts more than
+    its part, and the last one PARTS times n rows."""
+    order = (F.desc(by), F.asc(name))
+    part = F.pmod(F.xxhash64(name), F.lit(PARTS))
+    best = rows.withColumn("part__", part).withColumn("place__", F.row_number().over(Window.partitionBy("lang", "part__").orderBy(*order)))
+    last = best.where(F.col("place__") <= n).withColumn("place__", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    return last.where(F.col("place__") <= n).drop("part__")
+
+
+def rank_dictionary(freq: DataFrame, top_n: int = TOP_N) -> DataFrame:
+    """lang, token, freq, rnk: the top_n words of each language, from rank 0."""
+    return ranked(freq.select("lang", "token", "freq"), top_n, "freq", "token").select("lang", "token", "freq", (F.col("place__") - 1).alias("rnk"))
 
 
 def first_occurrences(words: DataFrame) -> DataFrame:
@@ -51,8 +63,7 @@ def trigram_totals(counts: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
 def trigram_model(counts: DataFrame, k: int = TRIGRAM_K, alpha: float = ALPHA) -> DataFrame:
     """lang, tri, lp: the k most frequent trigrams of each language, ties by trigram."""
-    order = Window.partitionBy("lang").orderBy(F.desc("c"), "tri")
-    top = counts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
+    top = ranked(counts, k, "c", "tri")
     denoms = trigram_totals(counts, alpha).select("lang", "denom")
     return top.join(denoms, "lang").select("lang", "tri", F.log((F.col("c") + F.lit(alpha)) / F.col("denom")).alias("lp"))
 
@@ -95,6 +106,11 @@ class Model:
         """The same with its small tables kept in memory, for several detections."""
         return Model(self.langs.cache(), self.dictionary.cache(), self.trigrams.cache(), self.floors.cache())
 
+    def stored(self, path: str) -> Model:
+        """The same, saved and read back, so that it is trained once."""
+        self.save(path)
+        return Model.load(self.langs.sparkSession, path)
+
 
 def train_model(
     docs: DataFrame, lang: str = "lang", text: str = "text", *, top_n: int = TOP_N, dict_size: int = DICT_SIZE,

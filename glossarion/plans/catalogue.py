@@ -42,6 +42,29 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+_trained: dict[tuple[str, str], Model] = {}
+_detectors: dict[int, LanguageDetector] = {}
+
+
+def trained(spark: SparkSession, sf_dir: str) -> Model:
+    """The model of the folder's documents: trained and saved once for each application, read wherever it is used."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _trained:
+        _trained[key] = train_model(table(spark, sf_dir)).stored(f"{scratch(spark)}/model-{uuid.uuid4().hex}")
+    return _trained[key]
+
+
+def detector(spark: SparkSession, sf_dir: str) -> LanguageDetector:
+    """The detector of that model, one for each model, so that its tables are brought to the driver once."""
+    model = trained(spark, sf_dir)
+    return _detectors.setdefault(id(model), LanguageDetector(model))
+
+
+def scratch(spark: SparkSession) -> str:
+    """The cluster's shared folder; only where none is set, as in tests, one of this machine."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+
+
 def _words(docs: DataFrame) -> DataFrame:
     return rank_dictionary(word_frequencies(docs))
 
@@ -133,19 +156,19 @@ def trigram_floor(spark, sf_dir):
 @query(o.chain() + " SELECT d.token, d.lang, d.rnk FROM dict d JOIN vocab ON d.token = vocab.token")
 def dict_lookup(spark, sf_dir):
     docs = table(spark, sf_dir)
-    found = _vocab(docs).join(F.broadcast(train_model(docs).dictionary), "token")
+    found = _vocab(docs).join(F.broadcast(trained(spark, sf_dir).dictionary), "token")
     return found.select("token", "lang", F.col("rnk").cast("long").alias("rnk"))
 
 
 @query(o.chain() + " SELECT token, lang, round(s, 6) AS s FROM priors")
 def dict_priors(spark, sf_dir):
-    return _rounded(word_priors(train_model(table(spark, sf_dir))), "s")
+    return _rounded(word_priors(trained(spark, sf_dir)), "s")
 
 
 @query(o.chain() + " SELECT token FROM miss")
 def dict_miss(spark, sf_dir):
     docs = table(spark, sf_dir)
-    return missing_words(_vocab(docs), train_model(docs))
+    return missing_words(_vocab(docs), trained(spark, sf_dir))
 
 
 def _long(scores: DataFrame, langs: list[str], *columns: str) -> DataFrame:
@@ -157,7 +180,7 @@ def _long(scores: DataFrame, langs: list[str], *columns: str) -> DataFrame:
 @query(o.chain() + " SELECT token, lang, round(s, 6) AS s FROM soft")
 def ngram_softmax(spark, sf_dir):
     docs = table(spark, sf_dir)
-    model = train_model(docs)
+    model = trained(spark, sf_dir)
     return _long(ngram_scores(missing_words(_vocab(docs), model), model), model.order(), "token")
 
 
@@ -166,7 +189,7 @@ def ngram_softmax(spark, sf_dir):
 )
 def word_score_table(spark, sf_dir):
     docs = table(spark, sf_dir)
-    model = train_model(docs)
+    model = trained(spark, sf_dir)
     scores = word_scores(_vocab(docs), model).withColumn("conf", F.round("conf", 6))
     long = _long(scores, model.order(), "token", "conf", "source")
     listed = model.dictionary.select(F.col("token").alias("t"), F.col("lang").alias("l"))
@@ -179,7 +202,7 @@ def word_score_table(spark, sf_dir):
 )
 def source_mix(spark, sf_dir):
     docs = table(spark, sf_dir)
-    model = train_model(docs)
+    model = trained(spark, sf_dir)
     known = model.dictionary.select(F.col("token").alias("known")).distinct()
     tagged = term_frequencies(docs, "doc_id").join(F.broadcast(known), F.col("token") == F.col("known"), "left")
     source = F.when(F.col("known").isNotNull(), "dict").otherwise("ngram").alias("source")
@@ -189,7 +212,13 @@ def source_mix(spark, sf_dir):
 @query(o.top())
 def detect_top(spark, sf_dir):
     docs = table(spark, sf_dir)
-    return _top(LanguageDetector(train_model(docs)).detect(docs, "doc_id"), "doc_id")
+    return _top(detector(spark, sf_dir).detect(docs, "doc_id"), "doc_id")
+
+
+@query(o.top())
+def detect_top_relational(spark, sf_dir):
+    """detect_top from joins and aggregations alone."""
+    return _top(detector(spark, sf_dir).detect_relational(table(spark, sf_dir), "doc_id"), "doc_id")
 
 
 @query(
@@ -199,7 +228,7 @@ def detect_top(spark, sf_dir):
 )
 def detect_distribution(spark, sf_dir):
     docs = table(spark, sf_dir)
-    found = LanguageDetector(train_model(docs)).detect(docs, "doc_id")
+    found = detector(spark, sf_dir).detect(docs, "doc_id")
     rows = found.select("doc_id", F.posexplode("distribution").alias("pos", "d"))
     return rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("k"), F.col("d.lang").alias("lang"), F.round("d.score", 6).alias("score"))
 
@@ -207,25 +236,25 @@ def detect_distribution(spark, sf_dir):
 @query(o.top(only="tot.lang IN ('en', 'de')").replace("ord, floor", "CASE tot.lang WHEN 'en' THEN 0 ELSE 1 END AS ord, floor"))
 def detect_only_en_de(spark, sf_dir):
     docs = table(spark, sf_dir)
-    return _top(LanguageDetector(train_model(docs)).only(["en", "de"]).detect(docs, "doc_id"), "doc_id")
+    return _top(detector(spark, sf_dir).only(["en", "de"]).detect(docs, "doc_id"), "doc_id")
 
 
 @query(o.top(threshold=0.6))
 def detect_unknown_gate(spark, sf_dir):
     docs = table(spark, sf_dir)
-    return _top(LanguageDetector(train_model(docs)).unknown_threshold(0.6).detect(docs, "doc_id"), "doc_id")
+    return _top(detector(spark, sf_dir).unknown_threshold(0.6).detect(docs, "doc_id"), "doc_id")
 
 
 @query(o.top("conv_id, turn", "conversations"))
 def detect_conversations(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
-    return _top(LanguageDetector(train_model(table(spark, sf_dir))).detect(rows, "conv_id", "turn"), "conv_id", "turn")
+    return _top(detector(spark, sf_dir).detect(rows, "conv_id", "turn"), "conv_id", "turn")
 
 
 @query(o.top("item_id", "benchmark"))
 def detect_benchmark(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark")
-    return _top(LanguageDetector(train_model(table(spark, sf_dir))).detect(rows, "item_id"), "item_id")
+    return _top(detector(spark, sf_dir).detect(rows, "item_id"), "item_id")
 
 
 @query(
@@ -234,7 +263,7 @@ def detect_benchmark(spark, sf_dir):
     "SELECT item_id, CAST(pos AS INTEGER) AS pos, p.token, source, lang, round(s, 6) AS s FROM placed p JOIN ws ON p.token = ws.token"
 )
 def detect_words(spark, sf_dir):
-    found = LanguageDetector(train_model(table(spark, sf_dir))).detect_words(table(spark, sf_dir, "benchmark"), "item_id")
+    found = detector(spark, sf_dir).detect_words(table(spark, sf_dir, "benchmark"), "item_id")
     rows = found.select("item_id", "pos", "token", "source", F.explode("scores").alias("x"))
     return rows.select("item_id", "pos", "token", "source", F.col("x.lang").alias("lang"), F.round("x.score", 6).alias("s"))
 
@@ -244,7 +273,7 @@ def detect_words(spark, sf_dir):
     + f", c AS (SELECT item_id, len({o.toks('text')}) AS n_words FROM benchmark) SELECT item_id, CAST(n_words AS INTEGER) AS n_words FROM c"
 )
 def detect_detailed(spark, sf_dir):
-    found = LanguageDetector(train_model(table(spark, sf_dir))).detect_detailed(table(spark, sf_dir, "benchmark"), "item_id")
+    found = detector(spark, sf_dir).detect_detailed(table(spark, sf_dir, "benchmark"), "item_id")
     return found.select("item_id", F.size("words").alias("n_words"))
 
 
@@ -259,7 +288,7 @@ PLACED = (
 )
 def detect_words_documents(spark, sf_dir):
     docs = table(spark, sf_dir)
-    found = LanguageDetector(train_model(docs)).detect_words(docs, "doc_id")
+    found = detector(spark, sf_dir).detect_words(docs, "doc_id")
     rows = found.select("doc_id", "pos", "token", "source", F.explode("scores").alias("x"))
     return rows.select("doc_id", "pos", "token", "source", F.col("x.lang").alias("lang"), F.round("x.score", 6).alias("s"))
 
@@ -284,7 +313,7 @@ def _listed(scores: Column) -> Column:
 def detect_detailed_documents(spark, sf_dir):
     """Tokens, sources and scores of all words as a digest in text order, and the aggregate."""
     docs = table(spark, sf_dir)
-    found = LanguageDetector(train_model(docs)).detect_detailed(docs, "doc_id")
+    found = detector(spark, sf_dir).detect_detailed(docs, "doc_id")
     shown = F.transform("words", lambda w: F.concat_ws(":", w["token"], w["source"], _listed(w["scores"])))
     n_dict = F.size(F.filter("words", lambda w: w["source"] == "dict"))
     return found.select(
@@ -299,7 +328,7 @@ def detect_detailed_documents(spark, sf_dir):
 def mixed_language_docs(spark, sf_dir):
     docs = table(spark, sf_dir)
     d = F.col("distribution")
-    found = LanguageDetector(train_model(docs)).detect(docs, "doc_id").where(F.size(d) > 1)
+    found = detector(spark, sf_dir).detect(docs, "doc_id").where(F.size(d) > 1)
     second = F.get(d, F.lit(1))
     return found.where(F.round(second["score"], 6) > 0.1).select("doc_id", F.get(d, F.lit(0))["lang"].alias("lang1"), second["lang"].alias("lang2"))
 
@@ -307,7 +336,7 @@ def mixed_language_docs(spark, sf_dir):
 @query("SELECT id, '?' AS lang, 1.0::DOUBLE AS score FROM (VALUES (0), (1), (2)) t(id)")
 def empty_input(spark, sf_dir):
     rows = spark.createDataFrame([(0, ""), (1, " \t\n "), (2, "123 45.6 --")], "id int, text string")
-    return _top(LanguageDetector(train_model(table(spark, sf_dir))).detect(rows, "id"), "id")
+    return _top(detector(spark, sf_dir).detect(rows, "id"), "id")
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,13 +456,9 @@ def space_word_counts(spark, sf_dir):
     return table(spark, sf_dir).select("doc_id", F.size(space_words(F.col("text"))).alias("n"))
 
 
-def _small_model(spark: SparkSession, sf_dir: str) -> Model:
-    return train_model(table(spark, sf_dir)).cached()
-
-
 @query()
 def detect_udf(spark, sf_dir):
-    register(spark, _small_model(spark, sf_dir))
+    register(spark, detector(spark, sf_dir).scorer)
     rows = table(spark, sf_dir).selectExpr("doc_id", "detect_lang(text) AS found")
     return rows.select("doc_id", "found.lang", F.round("found.score", 6).alias("score"))
 
@@ -441,16 +466,15 @@ def detect_udf(spark, sf_dir):
 @query()
 def detect_arrow(spark, sf_dir):
     docs = table(spark, sf_dir).select("doc_id", "text")
-    return detect_stream(docs, _small_model(spark, sf_dir)).select("doc_id", "lang", F.round("score", 6).alias("score"))
+    return detect_stream(docs, detector(spark, sf_dir).scorer).select("doc_id", "lang", F.round("score", 6).alias("score"))
 
 
 @query(name="detect_stream")
 def detect_stream_query(spark, sf_dir):
     """The documents as a stream, scored without state and written to the shared folder."""
-    model = _small_model(spark, sf_dir)
+    model = detector(spark, sf_dir).scorer
     docs = spark.readStream.schema(table(spark, sf_dir).schema).parquet(f"{sf_dir}/documents.parquet*")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    folder = f"{shared}/stream-{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     found = detect_stream(docs.select("doc_id", "text"), model).select("doc_id", "lang", F.round("score", 6).alias("score"))
     writer = found.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/state")
     writer.format("parquet").start(f"{folder}/rows").awaitTermination()

@@ -1,126 +1,46 @@
-"""Detection without an aggregation: a scorer for SQL functions and streams.
-
-The relational plan aggregates, which a stream would have to keep state for. Here the
-model's tables, bounded by its languages and sizes, become dictionaries in the Python
-workers, and whole Arrow batches are scored with a memory of words already seen."""
+"""Detection as SQL functions and over streams, which need no state as a row is scored by itself."""
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.langs import UNKNOWN
 from ..functions.ship import ship
-from ..operators.detect import UNKNOWN_THRESHOLD
-from ..operators.score import NO_FLOOR, PRIOR_K
+from ..operators.scorer import Scorer
 from ..operators.train import Model
 
-CACHE = 500_000
-_RUN = re.compile(r"[^\W_]+(?:'*[^\W_]+)*")
-#: Rows of model tables that a scorer takes; train with smaller sizes beyond it.
-MOST_ROWS = 1_000_000
-
-
-class Scorer:
-    """Scores texts by the same rules as the tables, in plain Python; picklable."""
-
-    def __init__(self, langs: list[str], ranks: dict, lps: dict, floors: dict, threshold: float = UNKNOWN_THRESHOLD):
-        self.langs, self.ranks, self.lps, self.threshold = langs, ranks, lps, threshold
-        self.floors = [floors.get(x, NO_FLOOR) for x in langs]
-        self.seen: dict[str, tuple[str, list[float]]] = {}
-
-    @classmethod
-    def of(cls, model: Model, threshold: float = UNKNOWN_THRESHOLD) -> Scorer:
-        langs = model.order()
-        at = {x: k for k, x in enumerate(langs)}
-        ranks: dict = {}
-        lps: dict = {}
-        dictionary = model.dictionary.limit(MOST_ROWS + 1).collect()
-        trigrams = model.trigrams.limit(MOST_ROWS + 1).collect()
-        if max(len(dictionary), len(trigrams)) > MOST_ROWS:
-            raise ValueError("the model is too large for a scorer")
-        for r in dictionary:
-            ranks.setdefault(r["token"], []).append((at[r["lang"]], r["rnk"]))
-        for r in trigrams:
-            lps.setdefault(r["tri"], {})[at[r["lang"]]] = r["lp"]
-        return cls(langs, ranks, lps, {r["lang"]: r["lp"] for r in model.floors.collect()}, threshold)
-
-    def word(self, token: str) -> tuple[str, list[float]]:
-        found = self.seen.get(token)
-        if found:
-            return found
-        hits = self.ranks.get(token)
-        scores = [0.0] * len(self.langs)
-        if hits:
-            for k, rank in hits:
-                scores[k] = 1.0 / (rank + PRIOR_K)
-            total = sum(scores)
-            found = ("dict", [x / total for x in scores])
-        else:
-            padded = f"^^{token}$$"
-            for i in range(len(token) + 2):
-                own = self.lps.get(padded[i : i + 3], {})
-                for k, floor in enumerate(self.floors):
-                    scores[k] += own.get(k, floor)
-            top = max(scores)
-            e = [math.exp(x - top) for x in scores]
-            total = sum(e)
-            found = ("ngram", [x / total for x in e])
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        self.seen[token] = found
-        return found
-
-    def tokens(self, text: str) -> list[str]:
-        return [t.lower() for t in _RUN.findall(text) if any(c.isalpha() for c in t)]
-
-    def detect(self, text: str | None) -> tuple[str, float] | None:
-        if text is None:
-            return None
-        sums = [0.0] * len(self.langs)
-        for token in self.tokens(text):
-            scores = self.word(token)[1]
-            conf = max(scores)
-            for k, x in enumerate(scores):
-                sums[k] += conf * x
-        total = sum(sums)
-        if total <= 0:
-            return UNKNOWN, 1.0
-        best = max(range(len(sums)), key=lambda k: (sums[k], -k))
-        score = sums[best] / total
-        return (self.langs[best], score) if score >= self.threshold else (UNKNOWN, 1.0)
-
 
-def detect_stream(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def detect_stream(docs: DataFrame, model: Model | Scorer, text: str = "text") -> DataFrame:
     """The rows, streaming or not, with ``lang`` and ``score`` of their text put in place of such columns."""
     ship(docs.sparkSession)
-    scorer = Scorer.of(model)
+    scorer = model if isinstance(model, Scorer) else Scorer.of(model)
     others = [c for c in docs.columns if c not in ("lang", "score")]
     picked = docs.select(*others)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        live = scorer.live()
         for batch in batches:
-            found = [scorer.detect(x) or (None, None) for x in batch[text]]
-            yield batch.assign(lang=[x for x, _ in found], score=[y for _, y in found])
+            langs, scores = live.best(batch.column(others.index(text)).to_pylist())
+            columns = dict(zip(others, batch.columns, strict=True))
+            yield pa.RecordBatch.from_pydict({**columns, "lang": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
 
-    return picked.mapInPandas(run, f"{fields}, lang string, score double")
+    return picked.mapInArrow(run, f"{fields}, lang string, score double")
 
 
-def register(spark: SparkSession, model: Model) -> None:
+def register(spark: SparkSession, model: Model | Scorer) -> None:
     """``detect_lang(text)`` and, for LATERAL, ``detect_words(text)`` in SQL."""
     ship(spark)
-    scorer = Scorer.of(model)
+    scorer = model if isinstance(model, Scorer) else Scorer.of(model)
 
     @F.pandas_udf("struct<lang: string, score: double>")
     def detect_lang(texts: pd.Series) -> pd.DataFrame:
-        found = [scorer.detect(x) or (None, None) for x in texts]
-        return pd.DataFrame(found, columns=["lang", "score"])
+        langs, scores = scorer.live().best(list(texts))
+        return pd.DataFrame({"lang": langs, "score": scores})
 
     class Words:
         def eval(self, text: str | None):
