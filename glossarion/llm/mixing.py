@@ -7,9 +7,9 @@ two constraints (documents and tokens of the source), three documents at a time,
 until each is 0 or 1, so that both totals stay what they were. It runs in blocks of
 about ``BLOCK`` documents of one source; at most two documents of a block stay
 undecided and meet in blocks of the next level, and so on, until each source is one
-block. What then remains, at most two documents a source, is the landing problem: of
-the at most four ways to end it, the one nearest to the token total is taken, and up
-to FLIPS decisions of the last block are reversed where that comes nearer still.
+block. The last block keeps POOL documents out of the flight; with the at most two that it
+leaves they are the landing problem, ended in the way that comes nearest to both totals. No decision of
+the flight is reversed.
 
 Only (id, source, size) rows move, a hot source is many blocks, and a level is a
 four-thousandth of the one before. Blocks follow a hash of the id and random steps
@@ -36,7 +36,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BLOCK = 4096
-FLIPS = 3
+#: Documents of a source's last block that the flight leaves to the landing.
+POOL = 12
 _EPS = 1e-9
 
 
@@ -93,29 +94,22 @@ def flight(pi: list[float], size: list[int], rng: random.Random) -> list[float]:
     return pi
 
 
-def landing(pi: list[float], size: list[int], total: float) -> list[float]:
-    """Ends the few probabilities that are left where the token total is nearest, and then
-    reverses at most ``FLIPS`` single decisions of this last block, each the one that
-    brings its tokens nearest to ``total``."""
+def landing(pi: list[float], size: list[int], rng: random.Random) -> list[float]:
+    """Ends the few probabilities that are left, at most 2 + POOL, by the cost of both totals.
+
+    Of all ways to end them, the one with the least sum of squared misses, of the token total and (counting a
+    hundredth) of the document total, each in proportion to the whole; equal ones are drawn from."""
     left = [k for k, p in enumerate(pi) if 0 < p < 1]
-    wanted = sum(pi[k] * size[k] for k in left)
-    count = sum(pi[k] for k in left)
-    ways = [[m >> j & 1 for j in range(len(left))] for m in range(1 << len(left))]
-    best = min(
-        ways,
-        key=lambda w: (abs(sum(x * size[k] for x, k in zip(w, left, strict=True)) - wanted), abs(sum(w) - count)),
-    )
+    if not left:
+        return pi
+    ways = np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1
+    p, n = np.array([pi[k] for k in left]), np.array([size[k] for k in left], float)
+    tokens = max(1.0, sum(x * s for x, s in zip(pi, size, strict=True)))
+    cost = ((ways - p) @ n / tokens) ** 2 + (0.01 * (ways - p).sum(1) / max(1.0, sum(pi))) ** 2
+    least = np.flatnonzero(cost <= cost.min() + 1e-15)
     out = list(pi)
-    for x, k in zip(best, left, strict=True):
+    for x, k in zip(ways[least[rng.randrange(len(least))]], left, strict=True):
         out[k] = float(x)
-    error = sum(x * n for x, n in zip(out, size, strict=True)) - total
-    for _ in range(FLIPS):
-        change = [n if x == 0 else -n for x, n in zip(out, size, strict=True)]
-        k = min(range(len(out)), key=lambda k: abs(error + change[k]), default=None)
-        if k is None or abs(error + change[k]) >= abs(error):
-            break
-        error += change[k]
-        out[k] = 1 - out[k]
     return out
 
 
@@ -126,9 +120,15 @@ def _settle(level: int):
         source, block, last = (table[c][0].as_py() for c in ("source", "block", "last"))
         rng = random.Random(crc32(repr((source, block, level)).encode()))
         pi, size = table["pi"].to_pylist(), table["size"].to_pylist()
-        moved = flight(pi, size, rng)
-        if last:
-            moved = landing(moved, size, sum(p * n for p, n in zip(pi, size, strict=True)))
+        if last:  # some are kept out of the flight for the landing
+            pool = [k for k, p in enumerate(pi) if _EPS < p < 1 - _EPS][:POOL]
+            fly = sorted(set(range(len(pi))) - set(pool))
+            moved = list(pi)
+            for k, p in zip(fly, flight([pi[k] for k in fly], [size[k] for k in fly], rng), strict=True):
+                moved[k] = p
+            moved = landing(moved, size, rng)
+        else:
+            moved = flight(pi, size, rng)
         return table.set_column(table.schema.get_field_index("pi"), "pi", pa.array(moved, pa.float64()))
 
     return run

@@ -1,6 +1,7 @@
 """Operators that SQL cannot express against plain versions of themselves."""
 
 import hashlib
+import itertools
 import random
 
 import duckdb
@@ -326,7 +327,18 @@ def test_flight_keeps_both_totals(units, seed):
     out = mixing.flight(pi, size, random.Random(seed))
     assert sum(0 < p < 1 for p in out) <= 2
     assert abs(sum(out) - sum(pi)) < 1e-5 * (1 + len(pi)) and abs(sum(p * n for p, n in zip(out, size)) - sum(p * n for p, n in zip(pi, size))) < 1e-2
-    assert all(p in (0, 1) for p in mixing.landing(out, size, 0.0))
+    ended = mixing.landing(out, size, random.Random(seed))
+    left = [k for k, p in enumerate(out) if 0 < p < 1]
+    assert all(p in (0, 1) for p in ended) and all(ended[k] == p for k, p in enumerate(out) if k not in left)
+
+
+def test_landing_takes_the_nearest_way():
+    pi, size = [0.5, 0.5, 0.4, 0.6, 1.0, 0.0], [10, 7, 5, 12, 100, 50]
+    out = mixing.landing(pi, size, random.Random(0))
+    want = sum(p * n for p, n in zip(pi, size))
+    ways = [[*w, 1.0, 0.0] for w in itertools.product((0.0, 1.0), repeat=4)]
+    assert abs(sum(p * n for p, n in zip(out, size)) - want) <= min(abs(sum(p * n for p, n in zip(w, size)) - want) for w in ways) + 1
+    assert abs(sum(out) - sum(pi)) <= 1
 
 
 def test_flight_respects_the_probabilities():
