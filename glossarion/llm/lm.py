@@ -11,7 +11,8 @@ partition of the count table that the hash belongs to. There the block's entries
 those of all other blocks; the totals go back in the order in which the block sent its
 hashes, so no hash travels twice. The block, exploded again into the same n-grams,
 joins the totals to them and sums the scores of each document. Both sides' sizes follow
-the input, and no partition holds more than its share of distinct n-grams.
+the input (a block and a part share a row only where they share an n-gram), and no partition
+holds more than its share of distinct n-grams.
 
 Hashes have 64 bits. Defined results: null and blank texts have no words and the
 score 0; each row is a document, repeated rows see each other; equal texts in an
@@ -117,13 +118,15 @@ def _unpack(x: bytes) -> np.ndarray:
 def _deal(order: int, n_parts: int):
     def run(table: pa.Table) -> pa.Table:
         distinct, counts = Block(table["text"].to_pylist(), order).distinct()
-        # Parts are ranges of the hash, so a part's entries are a slice of the sorted ones.
-        edges = np.searchsorted(distinct, np.array([(1 << 64) * k // n_parts for k in range(1, n_parts)], np.uint64))
-        pieces = list(zip([0, *edges], [*edges, len(distinct)], strict=True))
+        # Parts are ranges of the hash, so a part's entries are a slice of the sorted ones. A part for
+        # which the block has none gets no row, so there are never more rows than entries.
+        part = ((distinct >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
+        pieces = list(zip(first, [*first[1:], len(distinct)], strict=True)) if len(part) else []
         return pa.table(
             {
-                "block": pa.array([table["block"][0].as_py()] * n_parts, pa.int64()),
-                "part": pa.array(range(n_parts), pa.int64()),
+                "block": pa.array([table["block"][0].as_py()] * len(pieces), pa.int64()),
+                "part": pa.array(part[first], pa.int64()),
                 "hashes": pa.array([distinct[a:b].tobytes() for a, b in pieces], pa.binary()),
                 "counts": pa.array([_pack(counts[a:b]) for a, b in pieces], pa.binary()),
             }
@@ -161,7 +164,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         made = Block(own["text"].to_pylist(), order)
         distinct, _ = made.distinct()
         parts = sorted(zip(counted["part"].to_pylist(), counted["totals"].to_pylist(), strict=True))
-        joined = np.concatenate([_unpack(x) for _, x in parts]).astype(np.int64)
+        joined = np.concatenate([_unpack(x) for _, x in parts] or [np.zeros(0)]).astype(np.int64)
         score, shortest, longest = made.scores(distinct, joined, order)
         return pa.table(
             {"id": own["id"], "n_words": made.size, "score": score, "n_shortest": shortest, "n_longest": longest}
