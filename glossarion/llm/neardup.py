@@ -18,9 +18,9 @@ partners. Pairs that share fewer signatures than that bound demands are dropped,
 others are verified on the whole sets. Only pairs of two sets that both keep too few
 signatures could be missed. Those sets go through a second join at the finest
 partition, one feature each: every set is indexed by the rarest quarter (plus one) of
-its features, counted among these sets, which any two similar sets must share; what
-hangs together that way is compared exactly in blocks of ``BLOCK`` sets, each block
-pair returning a spanning forest of its links rather than all of them.
+its features, counted among these sets, which any two similar sets must share. Each set is
+compared with the smallest of its buckets; buckets whose sets that has not all connected are compared exactly
+in blocks of ``BLOCK`` sets, each block pair returning a spanning forest of its links rather than all of them.
 
 Equal sets are one node from the start. Hashes of shingles and sets have 64 bits.
 
@@ -305,9 +305,16 @@ def _dense_links(sets: DataFrame) -> DataFrame:
     length = F.col("size") - F.ceil(F.col("size") * NUM / DEN).cast("int") + 1
     rarest = cut(ranked.select("node", F.explode(F.slice("fs", F.lit(1), length)).alias("x")).select("node", F.col("x.f").alias("f")))
     centre = rarest.groupBy("f").agg(F.min("node").alias("centre"), F.count("*").alias("m")).where("m > 1")
-    near = rarest.join(centre.withColumnRenamed("f", "g"), F.col("f") == F.col("g")).select(
-        F.col("centre").alias("a"), F.col("node").alias("b")
-    )
+    near = cut(rarest.join(centre.withColumnRenamed("f", "g"), F.col("f") == F.col("g")).select("f", F.col("centre").alias("a"), F.col("node").alias("b")))
+    # First each set with the smallest of its buckets; what that connects needs no more comparing.
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("features").alias(f"f{c}"))
+    star = near.where("a <> b").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "fa", "fb")
+    linked = cut(star.mapInArrow(_verify, "a long, b long"))
+    found = components(linked)
+    of = found.select(F.col("node").alias("n"), "component")
+    marked = near.join(of, F.col("b") == F.col("n"), "left").withColumn("component", F.coalesce("component", "b"))
+    open_ = marked.groupBy("f").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(F.col("f").alias("open"))
+    near = near.join(open_, F.col("f") == F.col("open"), "left_semi").select("a", "b")
     groups = components(near.where("a <> b"))
     sized = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = groups.join(sized.withColumnRenamed("component", "c"), F.col("component") == F.col("c")).select(
@@ -317,7 +324,7 @@ def _dense_links(sets: DataFrame) -> DataFrame:
         "member", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
     whole = spread.join(sets, spread["member"] == sets["node"]).select("component", "i", "j", "node", "features")
-    return whole.groupBy("component", "i", "j").applyInArrow(_compare_block, "a long, b long")
+    return linked.unionByName(whole.groupBy("component", "i", "j").applyInArrow(_compare_block, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
