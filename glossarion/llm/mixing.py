@@ -145,7 +145,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         units.join(goals, F.col("source").eqNullSafe(F.col("of")), "left")
         .withColumn("base", F.floor(ratio).cast("int"))
         .withColumn("pi", ratio - F.floor(ratio))
-        .withColumn("h", F.xxhash64("doc_id"))
+        .withColumn("h", F.xxhash64("doc_id", *keys))
         .drop("of")
     )
     columns = state.columns

@@ -13,8 +13,8 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, the first by id. Documents without words stay; equal rows are one."""
-    kept = near_duplicates(docs).where("representative").select(F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__")).distinct()
-    hashed = docs.select("*", F.xxhash64("text").alias("th__"))
-    whole = hashed.groupBy("doc_id", "th__").agg(F.first(F.struct(*docs.columns)).alias("row__"))
-    joined = whole.join(kept, F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("th__") == F.col("hash__")), "left_semi")
-    return joined.select("row__.*")
+    kept = near_duplicates(docs).where("representative").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    whole = rows.groupBy("id", "hash").agg(F.first("row").alias("row"))
+    joined = whole.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
+    return joined.select("row.*")

@@ -15,14 +15,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Equal rows share their copies."""
-    hashed = docs.select("*", F.xxhash64(*docs.columns).alias("row_hash__"))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", F.xxhash64(*docs.columns).alias("hash")
+    )
     taken = (
-        mix(hashed, "doc_id", "text", "source", "row_hash__")
-        .groupBy(F.col("doc_id").alias("id__"), F.col("row_hash__").alias("hash__"))
-        .agg(F.sum("copies").cast("int").alias("copies__"))
-        .where("copies__ > 0")
+        mix(rows, "doc_id", "text", "source", "hash")
+        .groupBy(F.col("doc_id").alias("taken_id"), F.col("hash").alias("taken_hash"))
+        .agg(F.sum("copies").cast("int").alias("copies"))
+        .where("copies > 0")
     )
-    whole = hashed.groupBy("doc_id", "row_hash__").agg(F.first(F.struct(*docs.columns)).alias("row__"))
-    joined = whole.join(taken, F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("row_hash__") == F.col("hash__")))
-    repeated = joined.select("row__", F.explode(F.sequence(F.lit(1), F.col("copies__"))).alias("copy__"))
-    return repeated.select("row__.*")
+    whole = rows.groupBy("doc_id", "hash").agg(F.first("row").alias("row"))
+    joined = whole.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("hash") == F.col("taken_hash")))
+    repeated = joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return repeated.select("row.*")

@@ -81,6 +81,17 @@ def test_near_duplicates(spark, rows):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == plain_groups(rows)
 
 
+def test_near_duplicates_over_many_blocks(spark, monkeypatch):
+    """Crowded sets of one component in many more than two blocks, and a passage that dissimilar texts share."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(9)
+    rows = variants(4, 3, 40, 60)
+    passage = " ".join(rng.choice("klmnop") + str(rng.randint(0, 99)) for _ in range(40))
+    rows += [(1000 + i, f"{passage} " + " ".join(f"own{i}x{k}" for k in range(rng.choice((4, 9, 30))))) for i in range(40)]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == plain_groups(rows)
+
+
 def test_near_duplicates_of_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in documents(spark, SF).collect()]
     found = neardup.near_duplicates(documents(spark, SF))
