@@ -14,6 +14,14 @@ ISO3 = {
 }
 FLORES = {k: f"{v}_{'Cyrl' if k == 'ru' else 'Latn'}" for k, v in ISO3.items()}
 
+#: The year of the news corpus of a language; of those not listed, 2023.
+NEWS_YEAR = {"en": 2024, "de": 2024}
+
+
+def news_corpus(lang: str, size: str) -> str:
+    """The name of a language's news corpus of a size such as 100K."""
+    return f"{ISO3[checked([lang])[0]]}_news_{NEWS_YEAR.get(lang, 2023)}_{size}"
+
 
 def supported_languages() -> tuple[str, ...]:
     return LANGS

@@ -44,7 +44,18 @@ def confusion(rows: DataFrame) -> DataFrame:
     return rows.groupBy("expected", "predicted").agg(F.count("*").alias("n"))
 
 
-def confusion_matrix(rows: DataFrame, labels: list[str]) -> DataFrame:
+def labels_of(*tables: DataFrame) -> list[str]:
+    """The sorted labels of tables of expected and predicted; languages, so a few codes."""
+    each = [t.select(F.col(c).alias("label")) for t in tables for c in ("expected", "predicted")]
+    every = each[0]
+    for x in each[1:]:
+        every = every.unionByName(x)
+    return [r["label"] for r in every.where("label IS NOT NULL").distinct().orderBy("label").collect()]
+
+
+def confusion_matrix(rows: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """expected and a column for each label, by default all that occur."""
+    labels = labels_of(rows) if labels is None else labels
     return rows.groupBy("expected").pivot("predicted", labels).count().na.fill(0)
 
 
@@ -55,6 +66,27 @@ def common_misses(rows: DataFrame, k: int = 2) -> DataFrame:
     return missed.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select("lang", "k", "predicted", "n")
 
 
+def merged_misses(k: int = 2, **fixtures: DataFrame) -> DataFrame:
+    """lang, k, predicted, n, fixtures: common misses over several fixtures together, and the fixtures that show them."""
+    every = None
+    for name, rows in fixtures.items():
+        one = rows.where("expected <> predicted").select(F.col("expected").alias("lang"), "predicted", F.lit(name).alias("fixture"))
+        every = one if every is None else every.unionByName(one)
+    counted = every.groupBy("lang", "predicted").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("fixture")).alias("fixtures"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "predicted")
+    return counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select("lang", "k", "predicted", "n", "fixtures")
+
+
+def misses_with_words(rows: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, expected, predicted, words: array<struct<token, source, scores>> of the misclassified texts, in text order.
+
+    words: what ``LanguageDetector.detect_words`` gives for them."""
+    wrong = misses(rows)
+    nested = words.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "token", "source", "scores"))).alias("ws"))
+    dropped = F.transform("ws", lambda w: F.struct(w["token"].alias("token"), w["source"].alias("source"), w["scores"].alias("scores")))
+    return wrong.join(nested.select(key, dropped.alias("words")), key, "left")
+
+
 def misses(rows: DataFrame, lang: str | None = None) -> DataFrame:
     wrong = rows.where("expected <> predicted")
     return wrong.where(F.col("expected") == lang) if lang else wrong
@@ -70,3 +102,15 @@ def markdown(rows: DataFrame) -> str:
     """A report's table; for results that are a few rows by nature."""
     cells = [rows.columns, ["---"] * len(rows.columns), *([str(v) for v in r] for r in rows.collect())]
     return "\n".join("| " + " | ".join(c) + " |" for c in cells)
+
+
+def report(rows: DataFrame) -> str:
+    """Overall accuracy, languages, precision and recall, and the confusion matrix, as Markdown."""
+    overall = overall_accuracy(rows).first()
+    parts = {
+        "By language": accuracy_by_language(rows).orderBy("lang"),
+        "Precision, recall, F1": precision_recall_f1(rows).orderBy("lang"),
+        "Confusion": confusion_matrix(rows).orderBy("expected"),
+    }
+    head = f"# Accuracy\n\n{overall['correct']} / {overall['n']} = {overall['pct']:.2f} %"
+    return "\n\n".join([head, *(f"## {title}\n\n{markdown(part)}" for title, part in parts.items())]) + "\n"

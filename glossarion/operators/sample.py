@@ -21,6 +21,11 @@ def sample_per_language(docs: DataFrame, n: int, key: str = "doc_id", lang: str
     return docs.select(lang, key, F.row_number().over(order).alias("k")).where(F.col("k") <= n).select(lang, key)
 
 
+def keyed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """With a key made of the row itself, so that it is the same in a rerun."""
+    return docs.withColumn(key, F.xxhash64(*docs.columns))
+
+
 def shuffled(docs: DataFrame, key: str = "doc_id", seed: int = SEED) -> DataFrame:
     return docs.orderBy(seeded(key, seed), key)
 
@@ -63,17 +68,39 @@ def upper_median(column: str) -> Column:
     return F.get(F.sort_array(F.collect_list(column)), F.floor(F.count(column) / 2).cast("int"))
 
 
+def true_median(column: str) -> Column:
+    """The mean of the two middle values where their number is even."""
+    return F.expr(f"percentile({column}, 0.5)")
+
+
+def length_means(docs: DataFrame, *by: str, text: str = "text") -> DataFrame:
+    """by, mean_words, mean_bytes"""
+    stats = word_stats(docs, *by, text=text)
+    return stats.select(*by, F.try_divide("words", "docs").alias("mean_words"), F.try_divide("bytes", "docs").alias("mean_bytes"))
+
+
+def by_work(docs: DataFrame, text: str = "text") -> DataFrame:
+    """From the fewest words to the most, with their number as ``work``."""
+    return docs.withColumn("work", F.coalesce(F.size(space_words(F.col(text))), F.lit(0))).orderBy("work")
+
+
 def length_percentiles(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
-    """by, p50, p95, max_n of code points: element floor(n p) of the sorted lengths, from counts of lengths."""
+    """by, p50, p95, p99, max_n of code points: element floor(n p) of the sorted lengths, from counts of lengths."""
     counts = docs.where(F.col(text).isNotNull()).groupBy(by, F.length(text).alias("len")).agg(F.count("*").alias("c"))
     group = Window.partitionBy(by)
     upto = F.sum("c").over(group.orderBy("len").rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.select(by, "len", upto.alias("upto"), F.sum("c").over(group).alias("n"))
     at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("n") * p / 100), F.col("len")))
-    return ranked.groupBy(by).agg(at(50).alias("p50"), at(95).alias("p95"), F.max("len").alias("max_n"))
+    return ranked.groupBy(by).agg(at(50).alias("p50"), at(95).alias("p95"), at(99).alias("p99"), F.max("len").alias("max_n"))
 
 
 def representative(docs: DataFrame, pos: str, text: str = "text", low: int = 20, high: int = 60) -> DataFrame:
     """The first text of more than low and fewer than high bytes, or else the first row."""
     fits = (F.octet_length(text) > low) & (F.octet_length(text) < high)
     return docs.orderBy(F.when(fits, 0).otherwise(1), pos).limit(1)
+
+
+def representative_paragraph(docs: DataFrame, pos: str, text: str = "text", low: int = 60, high: int = 120) -> DataFrame:
+    """The first text of at least low and fewer than high words, or else the first row."""
+    fits = F.coalesce(F.size(space_words(F.col(text))).between(low, high - 1), F.lit(False))
+    return docs.orderBy(F.when(fits, 0).otherwise(1), pos).limit(1)

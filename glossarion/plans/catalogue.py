@@ -8,6 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from ..operators.score import dict_priors as word_priors
 from ..operators.score import ngram_scores, word_scores
 from ..operators.tokenize import spread, term_frequencies
 from ..operators.train import Model, rank_dictionary, train_model, trigram_counts, trigram_model, trigram_totals, word_frequencies
+from ..sources import readers, writers
 from ..streaming.scorer import detect_stream, register
 from . import oracle as o
 
@@ -339,13 +341,28 @@ def empty_input(spark, sf_dir):
     return _top(detector(spark, sf_dir).detect(rows, "id"), "id")
 
 
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+_judges: dict[tuple[str, str], LanguageDetector] = {}
+
+
+def judge(spark: SparkSession, sf_dir: str) -> LanguageDetector:
+    """A detector that has not seen the held-out fifth of the documents."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _judges:
+        model = train_model(table(spark, sf_dir).where("doc_id % 5 <> 0")).stored(f"{scratch(spark)}/model-{uuid.uuid4().hex}")
+        _judges[key] = LanguageDetector(model)
+    return _judges[key]
+
+
+def judged(spark: SparkSession, sf_dir: str, threshold: float | None = None) -> DataFrame:
     """doc_id, expected, predicted of the held-out fifth."""
-    docs = table(spark, sf_dir)
-    held = docs.where("doc_id % 5 = 0")
-    found = LanguageDetector(train_model(docs.where("doc_id % 5 <> 0"))).detect(held, "doc_id")
-    right = held.select("doc_id", F.col("lang").alias("expected"))
-    return found.select("doc_id", F.col("lang").alias("predicted")).join(right, "doc_id")
+    held = table(spark, sf_dir).where("doc_id % 5 = 0").withColumnRenamed("lang", "expected")
+    own = judge(spark, sf_dir)
+    found = (own if threshold is None else own.unknown_threshold(threshold)).detect(held, "doc_id", "expected")
+    return found.select("doc_id", "expected", F.col("lang").alias("predicted"))
+
+
+#: A threshold at which some documents count as unknown, so that there are misses to report.
+STRICT = 0.9
 
 
 RIGHT = "CAST(sum(CASE WHEN expected = predicted THEN 1 ELSE 0 END) AS BIGINT)"
@@ -374,24 +391,108 @@ def precision_recall_f1(spark, sf_dir):
     return _rounded(evaluate.precision_recall_f1(judged(spark, sf_dir)), "p", "r", "f1")
 
 
-@query(o.evaluated("SELECT expected, predicted, count(*) AS n FROM judged GROUP BY expected, predicted"))
+PIVOT = ", ".join(f"count(*) FILTER (predicted = '{x}') AS \"{x}\"" for x in ("de", "en", "es", "fr", "?"))
+
+
+@query(o.evaluated(f"SELECT expected, {PIVOT} FROM judged GROUP BY expected", threshold=STRICT))
 def confusion_matrix(spark, sf_dir):
+    return evaluate.confusion_matrix(judged(spark, sf_dir, STRICT), ["de", "en", "es", "fr", "?"])
+
+
+@query(o.evaluated("SELECT expected, predicted, count(*) AS n FROM judged GROUP BY expected, predicted"))
+def confusion(spark, sf_dir):
     return evaluate.confusion(judged(spark, sf_dir))
 
 
 @query(
     o.evaluated(
         ", m AS (SELECT expected AS lang, predicted, count(*) AS n FROM judged WHERE expected <> predicted GROUP BY expected, predicted) "
-        "SELECT lang, CAST(k AS INTEGER) AS k, predicted, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, predicted) AS k FROM m) WHERE k <= 2"
+        "SELECT lang, CAST(k AS INTEGER) AS k, predicted, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, predicted) AS k FROM m) WHERE k <= 2",
+        threshold=STRICT,
     )
 )
 def common_miss(spark, sf_dir):
-    return evaluate.common_misses(judged(spark, sf_dir))
+    return evaluate.common_misses(judged(spark, sf_dir, STRICT))
 
 
-@query(o.evaluated("SELECT doc_id, expected, predicted FROM judged WHERE expected <> predicted"))
+MISSED = (
+    f", counted AS (SELECT j.doc_id, j.expected, j.predicted, len({o.toks('d.text')}) AS n_words FROM judged j JOIN documents d ON d.doc_id = j.doc_id "
+    "WHERE j.expected <> j.predicted) SELECT doc_id, expected, predicted, CAST(coalesce(n_words, 0) AS INTEGER) AS n_words FROM counted"
+)
+
+
+@query(o.evaluated(MISSED, threshold=STRICT))
 def misclassified(spark, sf_dir):
-    return evaluate.misses(judged(spark, sf_dir)).select("doc_id", "expected", "predicted")
+    """The misclassified documents with their words, of which the number is shown."""
+    rows = judged(spark, sf_dir, STRICT)
+    texts = table(spark, sf_dir).join(evaluate.misses(rows).select("doc_id"), "doc_id", "left_semi")
+    words = judge(spark, sf_dir).detect_words(texts, "doc_id")
+    found = evaluate.misses_with_words(rows, words)
+    return found.select("doc_id", "expected", "predicted", F.coalesce(F.size("words"), F.lit(0)).alias("n_words"))
+
+
+@query(MODEL_ONLY + " SELECT lang, token, CAST(rnk AS INTEGER) AS rnk FROM dict_all")
+def words_round_trip(spark, sf_dir):
+    """The dictionary written as word lists and read back."""
+    model, folder = trained(spark, sf_dir), f"{scratch(spark)}/lists-{uuid.uuid4().hex}"
+    writers.words(model.dictionary, folder)
+    lists = [readers.word_list(spark, f"{folder}/lang={x}", x) for x in model.order()]
+    return reduce(DataFrame.unionByName, lists).select("lang", "token", "rnk")
+
+
+@query(MODEL_ONLY + " SELECT lang, tri, round(lp, 6) AS lp FROM tri_all UNION ALL SELECT lang, 'FLOOR', round(floor, 6) FROM tot")
+def trigrams_round_trip(spark, sf_dir):
+    """The trigrams and floors written as lists and read back."""
+    model, folder = trained(spark, sf_dir), f"{scratch(spark)}/lists-{uuid.uuid4().hex}"
+    writers.trigrams(model.trigrams, model.floors, folder)
+    lists = [x for lang in model.order() for x in readers.trigram_list(spark, f"{folder}/lang={lang}", lang)]
+    whole = [x if "tri" in x.columns else x.withColumn("tri", F.lit("FLOOR")) for x in lists]
+    return _rounded(reduce(DataFrame.unionByName, [x.select("lang", "tri", "lp") for x in whole]), "lp")
+
+
+@query(r"SELECT lang, trim(regexp_replace(text, '[\t\r\n]', ' ', 'g')) AS text, count(*) AS n FROM documents "
+       r"WHERE trim(regexp_replace(text, '[\t\r\n]', ' ', 'g')) <> '' GROUP BY ALL")
+def evaluation_round_trip(spark, sf_dir):
+    """The documents written as an evaluation file and read back."""
+    folder = f"{scratch(spark)}/evaluation-{uuid.uuid4().hex}"
+    writers.evaluation_tsv(table(spark, sf_dir), folder)
+    rows = readers.labelled_tsv(spark, folder).select("lang", F.trim("text").alias("text")).where("text <> ''")
+    return rows.groupBy("lang", "text").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS pos, text FROM benchmark")
+def json_round_trip(spark, sf_dir):
+    """The benchmark's texts written as one JSON array and read back."""
+    folder = f"{scratch(spark)}/json-{uuid.uuid4().hex}"
+    writers.json_array(table(spark, sf_dir, "benchmark"), folder, "item_id")
+    return readers.json_strings(spark, folder)
+
+
+@query(
+    f"SELECT source, round(CAST(sum({WORDS}) AS DOUBLE) / count(*), 6) AS mean_words, round(CAST(sum(strlen(text)) AS DOUBLE) / count(*), 6) AS mean_bytes "
+    "FROM documents GROUP BY source"
+)
+def length_means(spark, sf_dir):
+    return _rounded(sample.length_means(table(spark, sf_dir), "source"), "mean_words", "mean_bytes")
+
+
+@query("SELECT lang, median(length(text)) AS median_length FROM documents GROUP BY lang")
+def length_medians(spark, sf_dir):
+    return table(spark, sf_dir).withColumn("n", F.length("text")).groupBy("lang").agg(sample.true_median("n").alias("median_length"))
+
+
+@query(
+    "SELECT DISTINCT label FROM (SELECT lang AS label FROM documents UNION ALL SELECT '?') WHERE label IS NOT NULL"
+)
+def label_union(spark, sf_dir):
+    """The labels of two tables of expected and predicted together."""
+    docs = table(spark, sf_dir).select(F.col("lang").alias("expected"), F.lit("?").alias("predicted"))
+    return spark.createDataFrame([(x,) for x in evaluate.labels_of(docs, docs.limit(1))], "label string")
+
+
+@query("SELECT item_id, text FROM benchmark WHERE item_id = (SELECT coalesce(min(item_id) FILTER (" + WORDS + " BETWEEN 60 AND 119), min(item_id)) FROM benchmark)")
+def representative_paragraph(spark, sf_dir):
+    return sample.representative_paragraph(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", "text")
 
 
 @query("SELECT doc_id, length(trim(text)) AS n FROM documents WHERE length(trim(text)) BETWEEN 20 AND 200")
@@ -437,7 +538,7 @@ def unique_texts(spark, sf_dir):
 
 @query(
     "WITH r AS (SELECT lang, length(text) AS len, row_number() OVER (PARTITION BY lang ORDER BY length(text)) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) "
-    "SELECT lang, CAST(max(CASE WHEN k = n * 50 // 100 THEN len END) AS INTEGER) AS p50, CAST(max(CASE WHEN k = n * 95 // 100 THEN len END) AS INTEGER) AS p95, "
+    "SELECT lang, CAST(max(CASE WHEN k = n * 50 // 100 THEN len END) AS INTEGER) AS p50, CAST(max(CASE WHEN k = n * 95 // 100 THEN len END) AS INTEGER) AS p95, CAST(max(CASE WHEN k = n * 99 // 100 THEN len END) AS INTEGER) AS p99, "
     "CAST(max(len) AS INTEGER) AS max_n FROM r GROUP BY lang"
 )
 def length_percentiles(spark, sf_dir):

@@ -86,6 +86,6 @@ PREDICTED = "judged AS (SELECT d.lang AS expected, p.lang AS predicted, p.doc_id
 HELD_OUT = "(SELECT * FROM documents WHERE doc_id % 5 = 0)"
 
 
-def evaluated(rest: str) -> str:
-    inner = top("doc_id", HELD_OUT, "doc_id % 5 <> 0")
+def evaluated(rest: str, threshold: float = 0.2) -> str:
+    inner = top("doc_id", HELD_OUT, "doc_id % 5 <> 0", threshold=threshold)
     return f"WITH {fill(PREDICTED, top=inner)} {rest}"

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.langs import FLORES, ISO3
+from ..functions.ship import ship
 from ..functions.text import tokens
 
 
@@ -23,6 +29,46 @@ def frequency_list(spark: SparkSession, path: str, lang: str, top_n: int | None
     return out.orderBy("line").limit(top_n) if top_n else out
 
 
+def archive_lines(spark: SparkSession, path: str) -> DataFrame:
+    """member, line (from 0), value: the lines of the text files in tar archives, packed or not. One task reads an archive.
+
+    ``tar_sentences`` and ``tar_split`` make tables of them."""
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
+                    for member in archive:
+                        if member.isfile():
+                            lines = archive.extractfile(member).read().decode("utf-8", "replace").splitlines()
+                            for low in range(0, len(lines), 10_000):
+                                part = lines[low : low + 10_000]
+                                columns = [pa.array([member.name] * len(part)), pa.array(range(low, low + len(part)), pa.int64()), pa.array(part, pa.string())]
+                                yield pa.RecordBatch.from_arrays(columns, ["member", "line", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "member string, line long, value string")
+
+
+def tar_sentences(spark: SparkSession, path: str, lang: str) -> DataFrame:
+    """lang, id, sentence from the member ``*-sentences.txt`` of an archive."""
+    rows = archive_lines(spark, path).where(F.col("member").endswith("-sentences.txt"))
+    parts = F.split("value", "\t", 2)
+    found = rows.select(F.lit(lang).alias("lang"), F.get(parts, F.lit(0)).try_cast("bigint").alias("id"), F.trim(F.get(parts, F.lit(1))).alias("sentence"))
+    return found.where("sentence IS NOT NULL AND sentence <> ''")
+
+
+def tar_split(spark: SparkSession, path: str, split: str = "devtest", langs: tuple[str, ...] = tuple(FLORES)) -> DataFrame:
+    """lang, line, text from the members ``<code>.<split>`` of an archive; a missing language is an error."""
+    names = F.create_map(*[F.lit(x) for k in langs for x in (f"{FLORES[k]}.{split}", k)])
+    file = F.element_at(F.split("member", "/"), -1)
+    rows = archive_lines(spark, path).select(names[file].alias("lang"), "line", F.trim("value").alias("text")).where("lang IS NOT NULL AND text <> ''")
+    there = {r["lang"] for r in rows.select("lang").distinct().collect()}
+    if lacking := [x for x in langs if x not in there]:
+        raise ValueError(f"the archive has no {split} of {', '.join(lacking)}")
+    return rows
+
+
 def sentence_pairs(spark: SparkSession, path: str, low: int = 20, high: int = 200) -> DataFrame:
     """id, lang, text from lines ``id TAB iso3 TAB text``, bz2 too, for texts of low to high code points."""
     raw = spark.read.csv(path, sep="\t", quote="", schema="id string, iso3 string, text string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.langs import LANGS
 from ..functions.text import clean_tsv
 
 
@@ -22,11 +23,13 @@ def trigrams(model: DataFrame, floors: DataFrame, path: str) -> None:
     rows.select("lang", line.alias("value")).write.mode("overwrite").partitionBy("lang").text(path)
 
 
-def evaluation_tsv(rows: DataFrame, path: str, comment: str = "lang TAB text") -> None:
-    """Lines ``iso TAB text`` under a comment; tabs and line ends in texts become blanks."""
-    head = rows.sparkSession.createDataFrame([(f"# {comment}",)], "value string")
-    lines = rows.select(F.concat_ws("\t", "lang", clean_tsv(F.col("text"))).alias("value"))
-    head.unionByName(lines).coalesce(1).write.mode("overwrite").text(path)
+def evaluation_tsv(rows: DataFrame, path: str, comment: str = "lang TAB text", langs: tuple[str, ...] = LANGS) -> None:
+    """Lines ``iso TAB text`` under a comment, in files whose names follow the order of the languages asked for;
+    tabs and line ends in texts become blanks. Rows are dealt by ranges, so a file is a task's share."""
+    places = F.create_map(*[F.lit(x) for k, v in enumerate(langs) for x in (v, k)])
+    head = rows.sparkSession.createDataFrame([(-1, f"# {comment}")], "place int, value string")
+    lines = rows.select(F.coalesce(places[F.col("lang")], F.lit(len(langs))).alias("place"), F.concat_ws("\t", "lang", clean_tsv(F.col("text"))).alias("value"))
+    head.unionByName(lines).orderBy("place").select("value").write.mode("overwrite").text(path)
 
 
 def json_array(rows: DataFrame, path: str, pos: str = "pos", text: str = "text") -> None:

@@ -1,6 +1,9 @@
 import bz2
+import tarfile
 
-from glossarion.functions.text import normalise, outcome
+import pytest
+from glossarion.functions.langs import news_corpus
+from glossarion.functions.text import normalise, ns_per_token, outcome, thousands, throughput_k
 from glossarion.operators import evaluate, sample
 from glossarion.operators.train import model_of
 from glossarion.sources import readers, writers
@@ -31,6 +34,20 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in readers.split_corpus(spark, str(tmp_path), "dev", ("en",)).collect()] == [("en", "a"), ("en", "b")]
 
 
+def test_archives(spark, tmp_path):
+    for name, text in (("x/eng_news-sentences.txt", "1\tone two\n2\tthree\n"), ("x/words.txt", "1\tno\n"), ("f/eng_Latn.dev", "a\n\n b\n")):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(text)
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as archive:
+        archive.add(tmp_path / "in", "in")
+    path = str(tmp_path / "a.tar.gz")
+    assert [tuple(r) for r in readers.tar_sentences(spark, path, "en").orderBy("id").collect()] == [("en", 1, "one two"), ("en", 2, "three")]
+    assert [tuple(r) for r in readers.tar_split(spark, path, "dev", ("en",)).orderBy("line").collect()] == [("en", 0, "a"), ("en", 2, "b")]
+    with pytest.raises(ValueError, match="de"):
+        readers.tar_split(spark, path, "dev", ("en", "de"))
+    assert news_corpus("en", "100K") == "eng_news_2024_100K" and news_corpus("pl", "1M") == "pol_news_2023_1M"
+
+
 def test_writers(spark, tmp_path):
     freq = spark.createDataFrame([("en", "the", 5), ("en", "of", 3)], "lang string, token string, freq long")
     model = model_of(freq, ["en"])
@@ -53,6 +70,9 @@ def test_samples(spark):
     assert sample.shuffled(docs).count() == 20
     times = spark.createDataFrame([(x,) for x in (5, 1, 3, 9)], "x int")
     assert times.agg(sample.upper_median("x").alias("m")).first()["m"] == 5
+    assert times.agg(sample.true_median("x").alias("m")).first()["m"] == 4.0
+    work = sample.by_work(spark.createDataFrame([("a b c",), (None,), ("a",)], "text string")).collect()
+    assert [r["work"] for r in work] == [0, 1, 3]
     assert sample.representative(docs, "doc_id").first()["doc_id"] == 0
 
 
@@ -65,6 +85,9 @@ def test_evaluation(spark):
     assert evaluate.compare_fixtures(rows, rows.where("expected = 'en'")).where("pct_b IS NULL").count() == 2
     assert evaluate.markdown(evaluate.accuracy_by_language(rows)).startswith("| lang | n |")
     assert evaluate.overall_accuracy(rows.limit(0)).first()["pct"] == 0.0
+    merged = evaluate.merged_misses(a=rows, b=rows.where("expected = 'en'")).orderBy("lang").collect()
+    assert [(r["lang"], r["predicted"], r["n"], r["fixtures"]) for r in merged] == [("en", "de", 2, ["a", "b"]), ("fr", "?", 1, ["a"])]
+    assert evaluate.report(rows).startswith("# Accuracy\n\n2 / 4 = 50.00 %") and "| expected | ? | de | en | fr |" in evaluate.report(rows)
 
 
 def test_functions(spark):
@@ -72,3 +95,8 @@ def test_functions(spark):
         normalise(F.col("t")).alias("a"), normalise(F.col("z")).alias("b"), outcome(F.col("r")).alias("c")
     ).first()
     assert tuple(row) == ("fin", None, "win")
+    numbers = spark.sql("SELECT 1499 AS a, 1500 AS b, 0 AS z, 8.0D AS ms, 4000 AS n").select(
+        thousands(F.col("a")), thousands(F.col("b")), ns_per_token(F.col("ms"), F.col("n")), ns_per_token(F.col("ms"), F.col("z")),
+        throughput_k(F.col("n"), F.lit(2.0)), throughput_k(F.col("n"), F.lit(0.0)),
+    ).first()
+    assert tuple(numbers) == (1, 2, 2000.0, None, 2.0, None)
