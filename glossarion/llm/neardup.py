@@ -19,7 +19,7 @@ others are verified on the whole sets. Only pairs of two sets that both keep too
 signatures could be missed. Those sets go through a second join at the finest
 partition, one feature each: every set is indexed by the rarest quarter (plus one) of
 its features, counted among these sets, which any two similar sets must share. Each set is
-compared with the smallest of its buckets; buckets whose sets that has not all connected are compared exactly
+compared with the smallest set that its buckets hold; buckets whose sets that has not all connected are compared exactly
 in blocks of ``BLOCK`` sets, each block pair returning a spanning forest of its links rather than all of them.
 
 Equal sets are one node from the start. Hashes of shingles and sets have 64 bits.
@@ -306,9 +306,9 @@ def _dense_links(sets: DataFrame) -> DataFrame:
     rarest = cut(ranked.select("node", F.explode(F.slice("fs", F.lit(1), length)).alias("x")).select("node", F.col("x.f").alias("f")))
     centre = rarest.groupBy("f").agg(F.min("node").alias("centre"), F.count("*").alias("m")).where("m > 1")
     near = cut(rarest.join(centre.withColumnRenamed("f", "g"), F.col("f") == F.col("g")).select("f", F.col("centre").alias("a"), F.col("node").alias("b")))
-    # First each set with the smallest of its buckets; what that connects needs no more comparing.
+    # First each set with the smallest set of all its buckets, one pair a set; what that connects needs no more comparing.
     side = lambda c: sets.select(F.col("node").alias(c), F.col("features").alias(f"f{c}"))
-    star = near.where("a <> b").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "fa", "fb")
+    star = near.groupBy("b").agg(F.min("a").alias("a")).where("a <> b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "fa", "fb")
     linked = cut(star.mapInArrow(_verify, "a long, b long"))
     found = components(linked)
     of = found.select(F.col("node").alias("n"), "component")
