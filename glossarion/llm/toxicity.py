@@ -147,7 +147,6 @@ def score(
 ) -> DataFrame:
     """id, the score (0 to 1) under that name, and the columns to keep, for every document."""
     used, weights, bias = model
-    bias = bias or -1e-3
     source = docs.select(docs[text_col].cast("string").alias("text__scored"), id_col, *[c for c in keep if c != id_col])
     fields = source.schema.fields[1:]
 

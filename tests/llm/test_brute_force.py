@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 
 import duckdb
@@ -384,6 +385,37 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum(r["predicted"] and not r["toxic"] for r in rows) <= 0.01 * len(good)
 
 
+def test_ftrl_equals_a_plain_recurrence():
+    """Coordinate by coordinate, as published: per-coordinate rates, L1 and L2."""
+    rng = random.Random(1)
+    examples = [np.array(sorted(rng.sample(range(30), rng.randint(1, 8))), np.int64) for _ in range(120)]
+    labels = [int(3 in x or 7 in x and rng.random() < 0.8) for x in examples]
+    z, n, often = {}, {}, {}
+    for x in examples:
+        for k in x.tolist():
+            often[k] = often.get(k, 0) + 1
+    weight = lambda k: 0.0 if abs(z.get(k, 0.0)) <= toxicity.L1 else (
+        (math.copysign(toxicity.L1, z[k]) - z[k]) / ((toxicity.BETA + math.sqrt(n[k])) / toxicity.ALPHA + toxicity.L2)
+    )
+    z0 = n0 = 0.0
+    for _ in range(toxicity.EPOCHS):
+        for x, y in zip(examples, labels):
+            at = [k for k in x.tolist() if often[k] >= toxicity.MIN_SEEN]
+            w = {k: weight(k) for k in at}
+            b = -z0 / ((toxicity.BETA + math.sqrt(n0)) / toxicity.ALPHA)
+            g = 1 / (1 + math.exp(-(sum(w.values()) + b))) - y
+            for k in at:
+                old = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / toxicity.ALPHA * w[k]
+                n[k] = old + g * g
+            z0 += g - (math.sqrt(n0 + g * g) - math.sqrt(n0)) / toxicity.ALPHA * b
+            n0 += g * g
+    used, weights, bias = toxicity.fit_ftrl(examples, labels)
+    want = {k: weight(k) for k in z if weight(k)}
+    assert want and set(used.tolist()) == set(want) and all(abs(w - want[k]) < 1e-9 for k, w in zip(used.tolist(), weights))
+    assert abs(bias + z0 / ((toxicity.BETA + math.sqrt(n0)) / toxicity.ALPHA)) < 1e-9
+
+
 def test_ftrl_weights_are_sparse():
     rng = np.random.default_rng(0)
     examples = [np.unique(rng.integers(100, 5000, 80)) for _ in range(600)]
