@@ -20,12 +20,12 @@ NO_FLOOR = -1e6
 
 def dict_lookup(vocab: DataFrame, model: Model) -> DataFrame:
     """token, lang, rnk: a row for each language that has the word."""
-    return vocab.join(F.broadcast(model.dictionary), "token").select("token", "lang", "rnk")
+    return vocab.join(model.sent(model.dictionary), "token").select("token", "lang", "rnk")
 
 
 def dict_miss(vocab: DataFrame, model: Model) -> DataFrame:
     known = model.dictionary.select("token").distinct()
-    return vocab.join(F.broadcast(known), "token", "left_anti").select("token")
+    return vocab.join(model.sent(known), "token", "left_anti").select("token")
 
 
 def dict_priors(model: Model) -> DataFrame:
@@ -45,12 +45,13 @@ def ngram_scores(words: DataFrame, model: Model, langs: list[str] | None = None)
     langs = langs if langs is not None else model.order()
     floors = model.floors.groupBy().agg(*[F.max(F.when(F.col("lang") == x, F.col("lp"))).alias(f"floor{k}") for k, x in enumerate(langs)])
     exploded = words.select("token", F.explode(trigrams(F.col("token"))).alias("tri"))
-    hits = exploded.join(F.broadcast(wide_trigrams(model, langs)), "tri", "left")
+    hits = exploded.join(model.sent(wide_trigrams(model, langs)), "tri", "left")
     sums = hits.groupBy("token").agg(
         *[F.sum(F.get("lps", F.lit(k))).alias(f"sum{k}") for k in range(len(langs))],
         *[F.count(F.get("lps", F.lit(k))).alias(f"hit{k}") for k in range(len(langs))],
         F.count("*").alias("n"),
     )
+    # One row.
     raw = sums.join(F.broadcast(floors)).select(
         "token",
         F.array(*[
@@ -67,6 +68,6 @@ def word_scores(vocab: DataFrame, model: Model) -> DataFrame:
     wide = dict_priors(model).groupBy("token").agg(
         F.array(*[F.coalesce(F.max(F.when(F.col("lang") == x, F.col("s"))), F.lit(0.0)) for x in langs]).alias("s")
     )
-    hits = vocab.select("token").join(F.broadcast(wide), "token").select("token", F.lit("dict").alias("source"), "s")
+    hits = vocab.select("token").join(model.sent(wide), "token").select("token", F.lit("dict").alias("source"), "s")
     misses = ngram_scores(dict_miss(vocab, model), model, langs).select("token", F.lit("ngram").alias("source"), "s")
     return hits.unionByName(misses).select("token", "source", "s", F.array_max("s").alias("conf"))

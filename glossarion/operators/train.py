@@ -13,6 +13,8 @@ from ..functions.text import tokens, trigrams
 
 # Fixed values.
 TOP_N, DICT_SIZE, TRIGRAM_K, ALPHA = 10_000, 3_000, 3_000, 0.5
+#: Rows of a model's table that are sent to every executor.
+MOST_SENT = 200_000
 
 
 def word_frequencies(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -73,38 +75,45 @@ class Model:
     """langs (lang, ord), dictionary (token, lang, rnk), trigrams (lang, tri, lp), floors (lang, lp).
 
     The tables are bounded by the languages and the sizes asked for, never by the
-    corpus: at most DICT_SIZE and TRIGRAM_K rows a language."""
+    corpus: at most DICT_SIZE and TRIGRAM_K rows a language. ``most_rows`` is what no
+    table exceeds, None where that is not known."""
 
     langs: DataFrame
     dictionary: DataFrame
     trigrams: DataFrame
     floors: DataFrame
+    most_rows: int | None = None
 
     def order(self) -> list[str]:
         """The languages, at most ten, in the order that settles ties."""
         return [r["lang"] for r in self.langs.orderBy("ord").collect()]
 
+    def sent(self, table: DataFrame) -> DataFrame:
+        """A table of at most ``most_rows`` rows, broadcast if these are few enough; else joins shuffle."""
+        return F.broadcast(table) if self.most_rows is not None and self.most_rows <= MOST_SENT else table
+
     def save(self, path: str) -> None:
         for name in ("langs", "dictionary", "trigrams", "floors"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Model:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("langs", "dictionary", "trigrams", "floors")))
+        tables = [spark.read.parquet(f"{path}/{name}") for name in ("langs", "dictionary", "trigrams", "floors")]
+        return cls(*tables, max(x.count() for x in tables))
 
     def only(self, langs: tuple[str, ...]) -> Model:
         """Of the given languages alone, in that order. Filters reach the model's scans."""
         known = set(self.order())
         keep = F.col("lang").isin(*langs)
         table = langs_table(self.langs.sparkSession, [x for x in langs if x in known])
-        return Model(table, self.dictionary.where(keep), self.trigrams.where(keep), self.floors.where(keep))
+        return Model(table, self.dictionary.where(keep), self.trigrams.where(keep), self.floors.where(keep), self.most_rows)
 
     def tier(self, dict_size: int) -> Model:
         return replace(self, dictionary=self.dictionary.where(F.col("rnk") < dict_size))
 
     def cached(self) -> Model:
         """The same with its small tables kept in memory, for several detections."""
-        return Model(self.langs.cache(), self.dictionary.cache(), self.trigrams.cache(), self.floors.cache())
+        return Model(self.langs.cache(), self.dictionary.cache(), self.trigrams.cache(), self.floors.cache(), self.most_rows)
 
     def stored(self, path: str) -> Model:
         """The same, saved and read back, so that it is trained once."""
@@ -136,4 +145,5 @@ def model_of(
         words.where(F.col("rnk") < dict_size).select("token", "lang", "rnk"),
         trigram_model(counts, trigram_k, alpha),
         totals.select("lang", F.col("floor").alias("lp")),
+        len(LANGS) * max(dict_size, trigram_k, 1),
     )

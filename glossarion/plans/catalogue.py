@@ -158,7 +158,8 @@ def trigram_floor(spark, sf_dir):
 @query(o.chain() + " SELECT d.token, d.lang, d.rnk FROM dict d JOIN vocab ON d.token = vocab.token")
 def dict_lookup(spark, sf_dir):
     docs = table(spark, sf_dir)
-    found = _vocab(docs).join(F.broadcast(trained(spark, sf_dir).dictionary), "token")
+    model = trained(spark, sf_dir)
+    found = _vocab(docs).join(model.sent(model.dictionary), "token")
     return found.select("token", "lang", F.col("rnk").cast("long").alias("rnk"))
 
 
@@ -195,7 +196,7 @@ def word_score_table(spark, sf_dir):
     scores = word_scores(_vocab(docs), model).withColumn("conf", F.round("conf", 6))
     long = _long(scores, model.order(), "token", "conf", "source")
     listed = model.dictionary.select(F.col("token").alias("t"), F.col("lang").alias("l"))
-    kept = long.join(F.broadcast(listed), (F.col("token") == F.col("t")) & (F.col("lang") == F.col("l")), "left")
+    kept = long.join(model.sent(listed), (F.col("token") == F.col("t")) & (F.col("lang") == F.col("l")), "left")
     return kept.where("source = 'ngram' OR t IS NOT NULL").select("token", "lang", "s", "conf", "source")
 
 
@@ -206,7 +207,7 @@ def source_mix(spark, sf_dir):
     docs = table(spark, sf_dir)
     model = trained(spark, sf_dir)
     known = model.dictionary.select(F.col("token").alias("known")).distinct()
-    tagged = term_frequencies(docs, "doc_id").join(F.broadcast(known), F.col("token") == F.col("known"), "left")
+    tagged = term_frequencies(docs, "doc_id").join(model.sent(known), F.col("token") == F.col("known"), "left")
     source = F.when(F.col("known").isNotNull(), "dict").otherwise("ngram").alias("source")
     return tagged.groupBy("doc_id", source).agg(F.sum("n").alias("n"))
 

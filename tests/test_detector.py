@@ -1,8 +1,12 @@
+from dataclasses import replace
+
 import pytest
 from glossarion import LanguageDetector, Model, supported_languages, train_model
 from glossarion.functions.langs import checked
 from glossarion.functions.text import tokens, trigrams
+from glossarion.operators.score import word_scores
 from glossarion.operators.tokenize import strict_tokens
+from glossarion.operators.train import MOST_SENT
 from glossarion.streaming.scorer import Scorer
 from pyspark.sql import functions as F
 
@@ -115,3 +119,16 @@ def test_sql_functions(spark, model):
     assert spark.sql("SELECT detect_lang('the children walked').lang AS x").first()["x"] == "en"
     rows = spark.sql("SELECT w.* FROM (SELECT 'the zzyzx' AS t) d, LATERAL detect_words(d.t) w").collect()
     assert [(r["token"], r["source"]) for r in rows] == [("the", "dict"), ("zzyzx", "ngram")]
+
+
+def test_only_small_models_are_broadcast(spark, tmp_path):
+    docs = spark.createDataFrame([("en", "the cat and the dog"), ("de", "der Hund und die Katze")], "lang string, text string")
+    small = train_model(docs).stored(str(tmp_path / "model"))
+    words = spark.createDataFrame([("the",), ("katze",), ("zzz",)], "token string")
+    hint = lambda df: "strategy=broadcast" in df._jdf.queryExecution().logical().toString()
+    plain = replace(small, most_rows=MOST_SENT + 1)
+    assert small.most_rows < 100 and hint(words.join(small.sent(small.dictionary), "token"))
+    assert plain.sent(words) is words and replace(small, most_rows=None).sent(words) is words
+    rows = lambda model: sorted((r["token"], r["source"], [round(x, 9) for x in r["s"]]) for r in word_scores(words, model).collect())
+    assert rows(plain) == rows(small)
+    assert train_model(docs, dict_size=MOST_SENT).most_rows > MOST_SENT
