@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,43 @@ def _unknown() -> Column:
     return F.array(F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(1.0).alias("score")))
 
 
+#: Characters of texts whose words are listed at once.
+CHUNK_CHARS = 1 << 20
+ENTRY = pa.struct([("lang", pa.string()), ("score", pa.float64())])
+
+
+def _listed(share: np.ndarray, some: np.ndarray, null: np.ndarray, langs: list[str], threshold: float) -> tuple:
+    """The distributions as lists, best first; then the names, their order, the ordered shares and which texts are sure."""
+    names = np.array([*langs, UNKNOWN], dtype=object)
+    order = np.argsort(-share, axis=1, kind="stable")
+    sorted_ = np.take_along_axis(share, order, 1)
+    sure = some & (sorted_[:, 0] >= threshold) if langs else some
+    size = np.where(null, 0, np.where(sure, len(langs), 1))
+    first = np.cumsum(size) - size
+    flat_names, flat = np.full(size.sum(), UNKNOWN, dtype=object), np.ones(size.sum())
+    at = (first[sure, None] + np.arange(len(langs))).ravel()
+    flat_names[at], flat[at] = names[order[sure]].ravel(), sorted_[sure].ravel()
+    values = pa.StructArray.from_arrays([pa.array(flat_names, pa.string()), pa.array(flat)], fields=list(ENTRY))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, size.sum()), pa.int32()), values, mask=pa.array(null))
+    return lists, names, order, sorted_, sure
+
+
+def _words(live: Scorer, rows: list[list[int]]) -> pa.ListArray:
+    """For each text its words with their scores and sources. A word's entry is made once and taken wherever it occurs."""
+    used = [[r for r in at if r] for at in rows]
+    size = np.array([len(at) for at in used], int)
+    distinct, where = np.unique(np.fromiter((r for at in used for r in at), np.int64, size.sum()), return_inverse=True)
+    tokens = [live.found[r] for r in distinct]
+    known = np.array([t in live.ranks for t in tokens], bool)
+    scores = live.plain[distinct]
+    shown = ~known[:, None] | (scores > 0)
+    langs = pa.array(np.array(live.langs, dtype=object)[np.nonzero(shown)[1]] if live.langs else [], pa.string())
+    flat = pa.StructArray.from_arrays([langs, pa.array(scores[shown], pa.float64())], fields=list(ENTRY))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(shown.sum(1))), pa.int32()), flat)
+    made = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), lists, pa.array(np.where(known, "dict", "ngram"), pa.string())], ["token", "scores", "source"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), made.take(pa.array(where.ravel())))
+
+
 @dataclass(frozen=True)
 class LanguageDetector:
     """An immutable detector; ``only`` and the thresholds return new ones.
@@ -108,25 +146,13 @@ class LanguageDetector:
         scorer, langs, threshold = self.scorer, self.scorer.langs, self.threshold
         picked = docs.select(F.col(text).cast("string").alias("text__"), *keys)
         fields = picked.schema.fields[1:]
-        entry = pa.struct([("lang", pa.string()), ("score", pa.float64())])
-        names = np.array([*langs, UNKNOWN], dtype=object)
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             live = scorer.live()
             for batch in batches:
                 texts = batch.column(0).to_pylist()
                 share, some = live.shares(texts)
-                order = np.argsort(-share, axis=1, kind="stable")
-                sorted_ = np.take_along_axis(share, order, 1)
-                sure = some & (sorted_[:, 0] >= threshold) if langs else some
                 null = np.array([t is None for t in texts], bool)
-                size = np.where(null, 0, np.where(sure, len(langs), 1))
-                first = np.cumsum(size) - size
-                flat_names, flat = np.full(size.sum(), UNKNOWN, dtype=object), np.ones(size.sum())
-                at = (first[sure, None] + np.arange(len(langs))).ravel()
-                flat_names[at], flat[at] = names[order[sure]].ravel(), sorted_[sure].ravel()
-                values = pa.StructArray.from_arrays([pa.array(flat_names, pa.string()), pa.array(flat)], fields=list(entry))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, size.sum()), pa.int32()), values, mask=pa.array(null))
+                lists, names, order, sorted_, sure = _listed(share, some, null, langs, threshold)
                 tops = np.where(sure, names[order[:, 0]], UNKNOWN) if langs else np.full(len(texts), UNKNOWN, dtype=object)
                 best = np.where(sure, sorted_[:, 0], 1.0) if langs else np.ones(len(texts))
                 yield pa.RecordBatch.from_pydict({
@@ -158,17 +184,29 @@ class LanguageDetector:
         return words.join(scores, "token").select(*keys, "pos", "token", "source", shown.alias("scores"))
 
     def detect_detailed(self, docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
-        """keys, words: array<struct<token, scores, source>> in text order, aggregate."""
-        words = self.detect_words(docs, *keys, text=text).groupBy(*keys).agg(
-            F.sort_array(F.collect_list(F.struct("pos", "token", "scores", "source"))).alias("ws")
-        )
-        nested = words.select(*[F.col(k).alias(f"{k}__") for k in keys], F.transform(
-            "ws", lambda w: F.struct(w["token"].alias("token"), w["scores"].alias("scores"), w["source"].alias("source"))
-        ).alias("words"))
-        found = self._whole(docs, self._distributions(docs, keys, text), keys, text)
-        same = F.lit(True)
-        for k in keys:
-            same = same & found[k].eqNullSafe(nested[f"{k}__"])
-        return found.join(nested, same, "left").select(*keys, F.coalesce("words", F.array()).alias("words"), "aggregate")
+        """keys, words: array<struct<token, scores, source>> in text order, aggregate: a row for each row, in one pass and
+        without a shuffle. A null text has no words and a null aggregate."""
+        ship(docs.sparkSession)
+        scorer, threshold = self.scorer, self.threshold
+        picked = docs.select(F.col(text).cast("string").alias("text__"), *keys)
+        fields = picked.schema.fields[1:]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            live = scorer.live()
+            for batch in batches:
+                whole = batch.column(0).to_pylist()
+                ends = np.cumsum([len(t or "") for t in whole]) // CHUNK_CHARS
+                for start, stop in pairwise([0, *(np.nonzero(np.diff(ends))[0] + 1).tolist(), len(whole)]):
+                    texts = whole[start:stop]
+                    rows = live.rows(texts)
+                    null = np.array([t is None for t in texts], bool)
+                    yield pa.RecordBatch.from_pydict({
+                        **{f.name: batch.column(i + 1).slice(start, stop - start) for i, f in enumerate(fields)},
+                        "words": _words(live, rows), "aggregate": _listed(*live.shares(texts, rows), null, live.langs, threshold)[0],
+                    })
+
+        schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
+        entries = "array<struct<lang: string, score: double>>"
+        return picked.mapInArrow(run, f"{schema}words array<struct<token: string, scores: {entries}, source: string>>, aggregate {entries}")
 
     detect_detailed_batch = detect_detailed

@@ -45,7 +45,7 @@ class Scorer:
         self.forget()
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("row", "used", "weighted")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("row", "used", "weighted", "plain", "found")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -61,6 +61,9 @@ class Scorer:
         self.row: dict[str, int] = {}
         self.used = 1  # row 0 is of runs that are no token
         self.weighted = np.zeros((1024, len(self.langs)))
+        #: The rows' scores as they are, and their tokens.
+        self.plain = np.zeros((1024, len(self.langs)))
+        self.found = [""]
 
     @classmethod
     def of(cls, model: Model, threshold: float = UNKNOWN_THRESHOLD, tokenizer: str = "plain") -> Scorer:
@@ -81,6 +84,8 @@ class Scorer:
     def words(self, tokens: list[str]) -> np.ndarray:
         """A row of scores for each token."""
         out = np.zeros((len(tokens), len(self.langs)))
+        if not self.langs:
+            return out
         missing = []
         for i, token in enumerate(tokens):
             hits = self.ranks.get(token)
@@ -114,7 +119,10 @@ class Scorer:
         scores = self.words([made[r] for r in known])
         while self.used + len(known) > len(self.weighted):
             self.weighted = np.concatenate([self.weighted, np.zeros_like(self.weighted)])
-        self.weighted[self.used : self.used + len(known)] = scores * scores.max(1, keepdims=True)
+            self.plain = np.concatenate([self.plain, np.zeros_like(self.plain)])
+        self.plain[self.used : self.used + len(known)] = scores
+        self.found += [made[r] for r in known]
+        self.weighted[self.used : self.used + len(known)] = scores * scores.max(1, keepdims=True, initial=0.0)
         self.row.update((r, self.used + k) for k, r in enumerate(known))
         self.used += len(known)
 
@@ -122,11 +130,8 @@ class Scorer:
         split, one = TOKENIZERS[self.tokenizer]
         return [t for t in map(one, split(text)) if t is not None]
 
-    def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """For each text the languages' shares, and whether it has any token; zeros where it has none."""
-        out = np.zeros((len(texts), len(self.langs)))
-        if not self.langs:
-            return out, np.zeros(len(texts), bool)
+    def rows(self, texts: list[str | None]) -> list[list[int]]:
+        """For each text the rows of its runs, 0 for those that are no token."""
         if len(self.row) > CACHE:
             self.forget()
         split = TOKENIZERS[self.tokenizer][0]
@@ -135,10 +140,18 @@ class Scorer:
         new = {r for rs in found for r in rs if r not in row}
         if new:
             self._learn(sorted(new))
+        return [[row[r] for r in rs] for rs in found]
+
+    def shares(self, texts: list[str | None], rows: list[list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the languages' shares, and whether it has any token; zeros where it has none."""
+        out = np.zeros((len(texts), len(self.langs)))
+        if not self.langs:
+            return out, np.zeros(len(texts), bool)
+        rows = self.rows(texts) if rows is None else rows
         weighted = self.weighted
-        for k, rs in enumerate(found):
-            if rs:
-                out[k] = weighted[[row[r] for r in rs]].sum(0)
+        for k, at in enumerate(rows):
+            if at:
+                out[k] = weighted[at].sum(0)
         total = out.sum(1)
         some = total > 0
         out[some] /= total[some, None]
